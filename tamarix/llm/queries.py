@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, tokens, topk, toxicity
+from . import capfilter, packing, pii, sharding, simhash, tokens, topk, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,13 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_external_shuffle(spark, sf_dir):
+    sharded = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    return sharded.select("doc_id", sharding.record_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 @query
 def op2_best_two_fit(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -54,6 +61,16 @@ def op7_branch_and_bound(spark, sf_dir):
     return topk.search(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+@query
+def op8_spherical_caps(spark, sf_dir):
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_link_graph(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -73,3 +90,20 @@ WITH good AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+ORACLES["op9_link_graph"] = urls.oracle()
+
+ORACLES["op8_spherical_caps"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+), linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) >= 0.95 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM good
+  UNION SELECT l.b AS node, r.root FROM reach r JOIN linked l ON l.a = r.node
+), least AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN least ON node = vec_id
+"""
