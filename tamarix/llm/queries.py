@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import capfilter, packing, pii, sharding, simhash, tokens, topk, toxicity, urls
+from . import bpe, capfilter, packing, pii, sharding, simhash, tokens, topk, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,15 @@ def op4_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+@query
+def op5_bpe_folds(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    decoded = F.sha2(bpe.decode(F.col("ids"), path), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
 @query
 def op6_skip_chain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
