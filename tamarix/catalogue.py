@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tamarix.functions import text, vector
+from tamarix.operators import relational, retrieval
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):
@@ -16,3 +29,349 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def sql(name: str, statement: str, oracle: str | None = None) -> None:
+    """Register a SQL text; the oracle is another text where the dialects differ."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", statement)]
+
+    def run(spark, sf_dir):
+        return spark.sql(_bound(statement, used), **{f"t_{t}": table(spark, sf_dir, t) for t in used})
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle or statement
+
+
+def _bound(statement: str, used: list[str]) -> str:
+    """Names of tables after FROM, JOIN or a comma become parameters of spark.sql; braces of the text are kept."""
+    out = statement.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        out = re.sub(rf"(?i)\b((?:from|join)\s+)({t})\b(?!\s*\.)(\s+(?!on\b|where\b|group\b|order\b|join\b|left\b|right\b|full\b|inner\b|cross\b|natural\b|using\b|limit\b|union\b|intersect\b|except\b|having\b|semi\b|anti\b|tablesample\b|lateral\b)\w+)?", lambda m: f"{m[1]}{{t_{t}}}{m[3] or ' AS ' + t}", out)
+    return out
+
+
+# Scans, projections, predicates
+
+sql("scan_project", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+sql("scan_alias", "SELECT c_custkey AS id, c_name AS name, c_acctbal * 2 AS doubled FROM customer")
+sql("scan_tableless", "SELECT 1 AS one, 'x' AS x, 2 + 3 AS five")
+sql("scan_values", "SELECT id, name FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)")
+sql("filter_eq", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+sql("filter_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount <> 0.05")
+sql("filter_or", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9000")
+sql("filter_not", "SELECT p_partkey FROM part WHERE NOT (p_size > 10 OR p_retailprice < 1000)")
+sql("filter_in", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey IN (1, 3, 5, 7)")
+sql("filter_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 15")
+sql("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE '%BRASS'")
+sql("filter_ilike", "SELECT c_custkey FROM customer WHERE c_name ILIKE 'customer%1'")
+sql("filter_isnull", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS NULL")
+sql("filter_istrue", "SELECT p_partkey FROM part WHERE (p_size > 25) IS TRUE AND (p_retailprice < 0) IS FALSE")
+sql("filter_distinct_from", "SELECT d.doc_id, (l.toxic IS NOT DISTINCT FROM 1) AS is_toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+sql("filter_regex", "SELECT p_partkey FROM part WHERE p_name RLIKE '^[a-z]+ .*[0-3]$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-z]+ .*[0-3]$')")
+sql("case_coalesce", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'F'), 'done') AS status, greatest(o_totalprice, 1000) AS g, least(o_totalprice, 1000) AS l FROM orders")
+sql("cast_try", "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS whole, try_cast(o_orderstatus AS INT) AS never FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS whole, try_cast(o_orderstatus AS INT) AS never FROM orders")
+
+
+@query("param_bind", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000")
+def param_bind(spark, sf_dir):
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = :status AND o_totalprice > :least", args={"status": "O", "least": 100000}, orders=table(spark, sf_dir, "orders"))
+
+
+# Joins
+
+sql("join_inner", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+sql("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 150000")
+sql("join_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'")
+sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 3")
+sql("join_semi", "SELECT c_custkey FROM customer c LEFT SEMI JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F'", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+sql("join_anti", "SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON o.o_custkey = c.c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
+sql("join_using", "SELECT doc_id, toxic, lang FROM documents JOIN labels USING (doc_id)")
+sql("join_natural", "SELECT doc_id, quality FROM documents NATURAL JOIN labels")
+sql("join_three", "SELECT n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name")
+sql("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+sql("join_lateral", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
+    "SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1 AND c_custkey IN (SELECT c_custkey FROM customer)")
+
+
+@query("join_asof", "SELECT e.event_id, max_by(v.value, v.ts) AS last_value FROM events e LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) v ON v.user_id = e.user_id AND v.ts <= e.ts WHERE e.event_type = 'view' GROUP BY e.event_id")
+def join_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
+    return relational.as_of_join(events.where("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_value").select("event_id", "last_value")
+
+
+@query("join_range", "SELECT p.p_partkey, b.low FROM part p JOIN (SELECT DISTINCT floor(p_retailprice / 70) * 70 AS low FROM part) b ON p.p_retailprice >= b.low AND p.p_retailprice < b.low + 100")
+def join_range(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    bands = part.select((F.floor(F.col("p_retailprice") / 70) * 70).cast("double").alias("low")).distinct()
+    return relational.range_join(part, bands, F.col("p_retailprice"), F.col("low"), F.col("low") + 100, 100.0).select("p_partkey", "low")
+
+
+# Aggregates
+
+sql("agg_count", "SELECT count(*) AS n, count(o_orderstatus) AS m FROM orders")
+sql("agg_basic", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, min(l_tax) AS min_tax, max(l_tax) AS max_tax, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
+sql("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS total FROM orders GROUP BY o_orderstatus")
+sql("agg_stats", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(covar_pop(l_quantity, l_extendedprice), 3) AS cv, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY l_returnflag")
+sql("agg_median", "SELECT l_linestatus, median(l_quantity) AS med, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q1 FROM lineitem GROUP BY l_linestatus")
+sql("agg_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, round(sum(o_totalprice) FILTER (WHERE o_totalprice > 100000), 2) AS big FROM orders GROUP BY o_orderpriority")
+sql("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+sql("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+sql("cube", "SELECT n_regionkey, c_mktsegment, count(*) AS n, CAST(grouping(n_regionkey) AS INT) AS g FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
+sql("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql("agg_list_sorted", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+sql("agg_string", "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+sql("bool_bit_agg", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_pos, bool_or(o_totalprice > 400000) AS any_big, bit_and(o_custkey) AS ba, bit_or(o_custkey) AS bo, bit_xor(o_custkey) AS bx FROM orders GROUP BY o_orderstatus")
+sql("agg_max_by", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS top_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, o_orderkey AS top_order FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+sql("distinct_rows", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+sql("agg_first_per_key", "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id")
+QUERIES["agg_approx"] = lambda spark, d: table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+sql("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('F' AS f, 'O' AS o))", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS f, count(*) FILTER (WHERE l_linestatus = 'O') AS o FROM lineitem GROUP BY l_returnflag")
+sql("unpivot", "SELECT p_partkey, name, val FROM part UNPIVOT (val FOR name IN (p_brand, p_type))", "SELECT p_partkey, 'p_brand' AS name, p_brand AS val FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part")
+
+# Windows
+
+sql("win_rank", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+sql("win_dist", "SELECT s_suppkey, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey), 6) AS pr, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey), 6) AS cd, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS nt FROM supplier")
+sql("win_lag_lead", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(value, 2, -1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events")
+sql("win_first_last_nth", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+sql("win_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events")
+sql("win_range", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part")
+sql("win_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) t WHERE k <= 3")
+sql("win_groups", "SELECT p_partkey, sum(n) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM (SELECT p_partkey, p_brand, CAST(1 AS BIGINT) AS n, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part) t", "SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM (SELECT p_partkey, p_brand, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part) t")
+
+# Order, limits, sets, subqueries
+
+sql("sort_nulls", "SELECT doc_id, toxic FROM (SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) t ORDER BY toxic NULLS LAST, doc_id")
+sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+sql("page_n", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) t WHERE k > 100 AND k <= 150")
+sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("intersect_distinct", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+sql("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+sql("except_distinct", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+sql("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+sql("scalar_subq", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
+sql("correlated_subq", "SELECT o_orderkey FROM orders o WHERE o.o_totalprice >= (SELECT max(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = o.o_custkey)")
+sql("exists_subq", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
+sql("in_subq", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 5)")
+sql("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 1000000) SELECT c.c_custkey, round(t.total, 2) AS total FROM top t JOIN customer c ON c.c_custkey = t.o_custkey")
+sql("recursive_seq", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS square FROM t")
+sql("generate_series", "SELECT n_nationkey, k FROM nation LATERAL VIEW explode(sequence(1, 3)) AS k", "SELECT n_nationkey, CAST(k AS INTEGER) AS k FROM nation, (SELECT unnest(range(1, 4)) AS k) t")
+
+_NODES = "SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT 100000 + c_custkey, 100 + c_nationkey FROM customer"
+
+
+def _nodes(spark, d):
+    a = table(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "CAST(NULL AS BIGINT) AS parent_id")
+    b = table(spark, d, "nation").selectExpr("CAST(100 + n_nationkey AS BIGINT) AS id", "CAST(n_regionkey AS BIGINT) AS parent_id")
+    return a.union(b).union(table(spark, d, "customer").selectExpr("100000 + c_custkey AS id", "CAST(100 + c_nationkey AS BIGINT) AS parent_id"))
+
+
+@query("tree_descendants", f"WITH RECURSIVE n AS ({_NODES}), t(id, depth) AS (SELECT id, 0 FROM n WHERE id = 1 UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent_id = t.id) SELECT id, depth FROM t")
+def tree_descendants(spark, sf_dir):
+    return retrieval.tree(spark, _nodes(spark, sf_dir), 1, up=False)
+
+
+@query("tree_ancestors", f"WITH RECURSIVE n AS ({_NODES}), t(id, parent_id, depth) AS (SELECT id, parent_id, 0 FROM n WHERE id = 100007 UNION ALL SELECT n.id, n.parent_id, t.depth + 1 FROM n JOIN t ON n.id = t.parent_id) SELECT id, depth FROM t")
+def tree_ancestors(spark, sf_dir):
+    return retrieval.tree(spark, _nodes(spark, sf_dir), 100007, up=True)
+
+
+# Scalar functions
+
+sql("fn_string", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, trim(concat('  ', p_name, ' ')) AS t, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, reverse(p_brand) AS rv, substring(p_name, 2, 3) AS s, left(p_name, 2) AS le, right(p_name, 2) AS ri, instr(p_name, 'a') AS pos, split_part(p_name, ' ', 1) AS sp, replace(p_type, ' ', '_') AS rep, concat_ws('-', p_brand, p_type) AS cw, repeat('ab', 2) AS rpt, translate(p_brand, 'B', 'C') AS tr, levenshtein(p_brand, p_type) AS lev, ascii(p_brand) AS a FROM part",
+    "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, trim('  ' || p_name || ' ') AS t, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, reverse(p_brand) AS rv, substring(p_name, 2, 3) AS s, left(p_name, 2) AS le, right(p_name, 2) AS ri, instr(p_name, 'a') AS pos, split_part(p_name, ' ', 1) AS sp, replace(p_type, ' ', '_') AS rep, concat_ws('-', p_brand, p_type) AS cw, repeat('ab', 2) AS rpt, translate(p_brand, 'B', 'C') AS tr, levenshtein(p_brand, p_type) AS lev, ascii(p_brand) AS a FROM part")
+sql("fn_regex", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#') AS r, regexp_extract(p_name, '([a-z]+)', 1) AS e FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#', 'g') AS r, regexp_extract(p_name, '([a-z]+)', 1) AS e FROM part")
+sql("fn_date", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, date_trunc('month', o_orderdate) AS mt, o_orderdate + INTERVAL 30 DAYS AS later, extract(DOW FROM o_orderdate) - 1 AS dow FROM orders",
+    "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mt, o_orderdate + INTERVAL 30 DAY AS later, CAST(extract(DOW FROM o_orderdate) AS INT) AS dow FROM orders")
+sql("fn_date_format", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS s FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events")
+sql("fn_math", "SELECT p_partkey, abs(-p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS sq, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 100.0), 6) AS e, round(power(p_size, 2), 2) AS p, p_size % 7 AS m, sign(p_size - 25.0) AS sg, round(sin(p_size) + cos(p_size), 6) AS t, round(log10(p_retailprice), 6) AS lg FROM part",
+    "SELECT p_partkey, abs(-p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS sq, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 100.0), 6) AS e, round(power(p_size, 2), 2) AS p, p_size % 7 AS m, CAST(sign(p_size - 25.0) AS DOUBLE) AS sg, round(sin(p_size) + cos(p_size), 6) AS t, round(log10(p_retailprice), 6) AS lg FROM part")
+sql("fn_array", "SELECT n_nationkey, size(array(n_nationkey, n_regionkey)) AS n, element_at(split(n_name, 'A'), 1) AS first_part, array_contains(array(1, 2, 3), n_regionkey) AS has, array_join(array_sort(array(n_name, 'M')), ',') AS srt FROM nation", "SELECT n_nationkey, CAST(len([n_nationkey, n_regionkey]) AS INT) AS n, string_split(n_name, 'A')[1] AS first_part, list_contains([1, 2, 3], n_regionkey) AS has, array_to_string(list_sort([n_name, 'M']), ',') AS srt FROM nation")
+sql("fn_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+sql("fn_hash_base64", "SELECT doc_id, md5(text) AS m, sha2(base64(CAST(text AS BINARY)), 256) AS s FROM documents WHERE n_chars < 50", "SELECT doc_id, md5(text) AS m, sha256(to_base64(encode(text))) AS s FROM documents WHERE n_chars < 50")
+
+
+@query("fn_substr_context", "SELECT doc_id, substring(text, greatest(500 - 300, 0) + 1, least(540 + 300, length(text)) - greatest(500 - 300, 0)) AS context FROM documents WHERE length(text) >= 540")
+def fn_substr_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 540")
+    return docs.select("doc_id", text.with_context(F.col("text"), F.lit(500), F.lit(540)).alias("context"))
+
+
+# Vectors
+
+_DOT = "list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)))"
+
+
+def _query_vector(spark, d):
+    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+@query("vec_topk", f"SELECT e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, e.vec_id LIMIT 20")
+def vec_topk(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    found = vector.top_k(df, vector.dot(F.col("embedding"), vector.vector(_query_vector(spark, sf_dir))), 20, "vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vec_dot_filter", f"SELECT e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_DOT} > 0.1")
+def vec_dot_filter(spark, sf_dir):
+    score = vector.dot(F.col("embedding"), vector.vector(_query_vector(spark, sf_dir)))
+    return table(spark, sf_dir, "embeddings").where(score > 0.1).select("vec_id", F.round(score, 6).alias("score"))
+
+
+@query("vec_cosine", f"SELECT e.vec_id, round({_DOT} / sqrt(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)))) / sqrt(list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0")
+def vec_cosine(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.cosine_similarity(F.col("embedding"), vector.vector(_query_vector(spark, sf_dir))), 6).alias("cosine"))
+
+
+@query("vec_l2", "SELECT e.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))), 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0")
+def vec_l2(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.l2_distance(F.col("embedding"), vector.vector(_query_vector(spark, sf_dir))), 6).alias("distance"))
+
+
+@query("vec_normalize", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS first FROM embeddings")
+def vec_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.normalize(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query("vec_mean_pool", "SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, (SELECT unnest(range(1, 65)) AS i) t GROUP BY label, i")
+def vec_mean_pool(spark, sf_dir):
+    return vector.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@query("vec_best_per_label", f"SELECT label, vec_id FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_DOT} DESC, e.vec_id) AS k FROM embeddings e, embeddings q WHERE q.vec_id = 0) WHERE k <= 4")
+def vec_best_per_label(spark, sf_dir):
+    scored = table(spark, sf_dir, "embeddings").withColumn("score", vector.dot(F.col("embedding"), vector.vector(_query_vector(spark, sf_dir))))
+    return vector.best_per_group(scored, "label", "score", 4, "vec_id").select("label", "vec_id")
+
+
+# Text and retrieval
+
+
+@query("search_pipeline", f"""WITH c AS (SELECT e.vec_id AS file_id, {_DOT} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 20),
+ f AS (SELECT c.file_id, score, text, row_number() OVER (PARTITION BY md5(text) ORDER BY c.file_id) AS k FROM c JOIN documents d ON d.doc_id = c.file_id WHERE score > 0.1)
+ SELECT file_id, 10 AS chunk_start, round(score, 6) AS score, substring(text, 11, 30) AS chunk, substring(text, 1, least(340, length(text))) AS context FROM f WHERE k = 1""")
+def search_pipeline(spark, sf_dir):
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.col("label").alias("directory_id"), F.lit(10).alias("chunk_start"), F.lit(40).alias("chunk_end"), "embedding")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return retrieval.search(chunks, files, _query_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("doc_dedupe_hash", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
+def doc_dedupe_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("page_html_text")
+def page_html_text(spark, sf_dir):
+    return text.extract_html(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "texts")
+
+
+@query("doc_chunk")
+def doc_chunk(spark, sf_dir):
+    return text.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk_start", "chunk_end", "chunk")
+
+
+@query("doc_tokens")
+def doc_tokens(spark, sf_dir):
+    return text.tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+sql("page_offsets", "SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM conversations", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_at FROM conversations")
+sql("chat_history", "SELECT conv_id, turn, CASE role WHEN 'ai' THEN 'assistant' WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'user' END AS role, text FROM conversations ORDER BY conv_id, turn")
+
+
+@query("chat_prompt_text", "SELECT conv_id, string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def chat_prompt_text(spark, sf_dir):
+    line = F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("</"), "role", F.lit(">"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("rows"))
+    return rows.select("conv_id", F.array_join(F.col("rows.line"), "\n").alias("prompt"))
+
+
+# Events
+
+sql("ev_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type")
+
+
+@query("ev_window", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 600 AS bucket, count(*) AS n FROM events GROUP BY 1")
+def ev_window(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy(F.window("ts", "10 minutes")).agg(F.count("*").alias("n")).select((F.unix_timestamp(F.col("window.start")) / 600).cast("long").alias("bucket"), "n")
+
+
+@query("ev_sliding", "SELECT b * 300 AS begin_s, count(*) AS n FROM (SELECT unnest([CAST(floor(epoch(ts)) AS BIGINT) // 300, CAST(floor(epoch(ts)) AS BIGINT) // 300 - 1]) AS b FROM events) GROUP BY b")
+def ev_sliding(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy(F.window("ts", "10 minutes", "5 minutes")).agg(F.count("*").alias("n")).select(F.unix_timestamp(F.col("window.start")).alias("begin_s"), "n")
+
+
+@query("ev_session", """SELECT user_id, min(ts) AS begin_ts, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+ SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s""")
+def ev_session(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("begin_ts"), "n")
+
+
+@query("ev_first_value_barrier", """SELECT user_id, max(v) FILTER (WHERE event_type = 'view') AS view_value, max(v) FILTER (WHERE event_type = 'purchase') AS purchase_value FROM (
+ SELECT user_id, event_type, value AS v, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('view', 'purchase')) WHERE k = 1 GROUP BY user_id HAVING count(*) = 2""")
+def ev_first_value_barrier(spark, sf_dir):
+    from tamarix.streaming import dataflow
+
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("field"), "value", F.struct("ts", "event_id").alias("seq"))
+    return dataflow.barrier(events, ["view", "purchase"]).select(F.col("run").alias("user_id"), F.col("view").alias("view_value"), F.col("purchase").alias("purchase_value"))
+
+
+@query("ev_changeset_dedupe", "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def ev_changeset_dedupe(spark, sf_dir):
+    from tamarix.streaming import dataflow
+
+    return dataflow.latest_state(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "value")
+
+
+# Access control and the results of changes
+
+
+@query("acl_select_or", "SELECT c_custkey FROM customer WHERE (c_nationkey = 3 OR c_acctbal > 9000) AND (c_mktsegment = 'BUILDING' OR c_acctbal > 9500)")
+def acl_select_or(spark, sf_dir):
+    from tamarix.acl import RowAcl
+
+    acl = RowAcl([("ann", "customer", "select", "c_nationkey = 3"), ("ann", "customer", "select", "c_acctbal > 9000")])
+    return acl.query(spark, "ann", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9500", {"customer": table(spark, sf_dir, "customer")})
+
+
+@query("acl_join_filtered", "SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3 AND o.o_orderstatus = 'F'")
+def acl_join_filtered(spark, sf_dir):
+    from tamarix.acl import RowAcl
+
+    acl = RowAcl([("ann", "customer", "select", "c_nationkey = 3"), ("ann", "orders", "select", "o_orderstatus = 'F'")])
+    return acl.query(spark, "ann", "WITH c AS (SELECT * FROM customer) SELECT c.c_custkey, o.o_orderkey FROM c JOIN orders o ON o.o_custkey = c.c_custkey", {t: table(spark, sf_dir, t) for t in ("customer", "orders")})
+
+
+@query("dml_update_result", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def dml_update_result(spark, sf_dir):
+    from tamarix.plans import changes
+
+    return changes.updated(table(spark, sf_dir, "orders"), "o_orderstatus = 'P'", {"o_totalprice": "o_totalprice * 2"}).select("o_orderkey", "o_totalprice")
+
+
+@query("dml_delete_result", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS NULL OR l.toxic <> 1")
+def dml_delete_result(spark, sf_dir):
+    from tamarix.plans import changes
+
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return changes.remaining(both, "toxic = 1").select("doc_id")
+
+
+@query("dml_upsert_result", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 0.0 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey + 100000, 1.0 FROM supplier WHERE s_suppkey % 5 = 0")
+def dml_upsert_result(spark, sf_dir):
+    from tamarix.plans import changes
+
+    old = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    new = old.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(0.0)).union(old.where("s_suppkey % 5 = 0").selectExpr("s_suppkey + 100000", "1.0D"))
+    return changes.upserted(old, new, ["s_suppkey"])
