@@ -29,7 +29,7 @@ from . import arrow
 from . import pretoken as P
 from .tokens import frequent_words
 
-FREQUENT, PER_TASK, LONG = 1 << 19, 1 << 17, 128
+FREQUENT, PER_TASK, LONG = 1 << 18, 1 << 16, 128
 _NONE = 1 << 20
 
 
@@ -174,14 +174,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
     words = frequent_words(docs, text, frequent, PER_TASK, plain, P.split_bytes_bpe).where(F.octet_length("word") <= LONG)
     # A few rows each, so that the fold runs on all cores.
     bytes_of = arrow.append(durable(words.repartition(64)), ["word"], "bytes array<int>", lambda: lambda ws: [[list(w.encode()) for w in ws]])
-    known = bytes_of.select("word", fold(F.array("bytes"))[0].alias("ids")).toPandas()
-    if len(known):
-        cp, bounds = P.code_points(known["word"].tolist())
-        names, pick = np.unique(P.fingerprints(cp, bounds[:-1], bounds[1:]), return_index=True)
-        runs = [known["ids"].iloc[i] for i in pick.tolist()]
-        length = np.array([len(r) for r in runs], np.int32)
-        flat = np.concatenate(runs).astype(np.uint32)
-        content = (names, np.cumsum(length) - length.astype(np.int64), length, flat)
+    known = bytes_of.select("word", fold(F.array("bytes"))[0].alias("ids")).toArrow()
+    if known.num_rows:
+        cp, bounds = P.code_points(known.column("word").to_pylist())
+        names = P.fingerprints(cp, bounds[:-1], bounds[1:])
+        lists = known.column("ids").combine_chunks()
+        length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        content = (names, np.cumsum(length) - length.astype(np.int64), length, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
     else:
         content = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
     shared = docs.sparkSession.sparkContext.broadcast(content)
