@@ -173,24 +173,22 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, flo
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool, str, float]]:
     """Words and stems that stand mostly in toxic rows, weighted by their log odds; with the seeds."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def count(frames):
-        for frame in frames:
+    def count(batches):
+        for batch in batches:
             n, t = Counter(), Counter()
-            for text, toxic in zip(frame["text"], frame["toxic"]):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = entries(text)
                 n.update(found)
                 if toxic:
                     t.update(found)
-            keys = list(t)
-            clean = [k for k in n if k not in t]
-            yield pd.DataFrame({"entry": [k[0] for k in keys], "whole": [k[1] for k in keys], "t": [t[k] for k in keys], "n": [n[k] for k in keys]})
-            for i in range(0, len(clean), 1 << 16):
-                part = clean[i : i + (1 << 16)]
-                yield pd.DataFrame({"entry": [k[0] for k in part], "whole": [k[1] for k in part], "t": 0, "n": [n[k] for k in part]})
-
-    counts = rows.mapInPandas(count, "entry string, whole boolean, t long, n long").groupBy("entry", "whole").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+            keys = list(n)
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.bool_()), pa.array([t[k] for k in part], pa.int64()), pa.array([n[k] for k in part], pa.int64())], names=["entry", "whole", "t", "n"])
+
+    counts = rows.mapInArrow(count, "entry string, whole boolean, t long, n long").groupBy("entry", "whole").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     kept = counts.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("t"), "entry", "whole").limit(ENTRIES).collect()
     stems: dict[str, float] = {}
     lexicon = []
@@ -229,16 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, list[float]]:
     rows, stands_for = sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     lexicon = learn_lexicon(rows)
 
-    def features(frames):
+    import pyarrow as pa
+
+    def features(batches):
         grammar = Grammar(lexicon)
-        for frame in frames:
-            made = np.array([grammar.features(t) for t in frame["text"]]).reshape(len(frame), len(FEATURES))
-            frame = frame[["toxic"]].copy()
-            for k, name in enumerate(FEATURES):
-                frame[name] = made[:, k]
-            yield frame
-
-    found = rows.mapInPandas(features, "toxic int, " + ", ".join(f"{n} double" for n in FEATURES)).toPandas()
+        for batch in batches:
+            made = np.array([grammar.features(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), *(pa.array(made[:, k]) for k in range(len(FEATURES)))], names=["toxic", *FEATURES])
+
+    found = rows.mapInArrow(features, "toxic int, " + ", ".join(f"{n} double" for n in FEATURES)).toPandas()
     y = found["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         return lexicon, [1.0] * len(FEATURES) + [-4.0]
