@@ -13,10 +13,19 @@ def schema(text: str) -> list[T.StructField]:
     return T._parse_datatype_string(text).fields
 
 
-def append(df: DataFrame, read: list[str], made: str, start: Callable) -> DataFrame:
+def small(batches, most: int = 8 << 20):
+    """The batches cut into slices of about so many bytes; a larger row is a slice of its own."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def append(df: DataFrame, read: list[str], made: str, start: Callable, most: int | None = None) -> DataFrame:
     """df with columns made by Python. start() is called once a task and gives a function from
     the lists of values of the columns read to the lists of values of the columns made (a DDL
-    string). Columns of df that are named like a made one are replaced."""
+    string). Columns of df that are named like a made one are replaced. With most, f gets slices of about so
+    many bytes, which bounds what it holds at a time."""
     import pyarrow as pa
 
     fields = schema(made)
@@ -32,7 +41,7 @@ def append(df: DataFrame, read: list[str], made: str, start: Callable) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
-        for batch in batches:
+        for batch in small(batches, most) if most else batches:
             if batch.num_rows:
                 values = f(*(batch.column(len(kept) + i).to_pylist() for i in range(len(read))))
                 made_now = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, arrow_types)]

@@ -29,8 +29,9 @@ from . import arrow
 from . import pretoken as P
 from .tokens import frequent_words
 
-FREQUENT, PER_TASK, LONG = 1 << 18, 1 << 16, 128
-_NONE = 1 << 20
+FREQUENT, PER_TASK, LONG = 1 << 18, 1 << 16, 127
+#: Stands for no token.
+_END = 65535
 
 
 @functools.cache
@@ -95,46 +96,54 @@ def let(value: Column, then) -> Column:
 
 
 def encoder(path: str):
-    """A function from a column of byte arrays (array of int) to their ids (array of int)."""
+    """A function from a column of words (array of array of int, their bytes) to their ids (array of array of int).
+
+    The fold's state is one array of numbers, rank << 23 | position << 16 | id, for the tokens so
+    far: the rank is that of the pair with the next token, 65536 if there is none, and the
+    position is the token's first byte. Its least element is the leftmost pair of the least rank.
+    An id that no token has stands at either end, so that every pair has neighbours.
+    """
     shifts, cells, (m1, m2) = perfect_hash(path)
     table = ranks(path)
-    tables = F.struct(_literal(shifts.tolist(), "int").alias("shifts"), _literal(cells.tolist(), "bigint").alias("cells"), _literal([table[bytes([b])] for b in range(256)], "int").alias("bytes"))
+    singles = [table[bytes([b])] for b in range(256)]
+    tables = F.struct(_literal(shifts.tolist(), "int").alias("shifts"), _literal(cells.tolist(), "bigint").alias("cells"), _literal(singles, "int").alias("bytes"))
     groups, size = len(shifts), len(cells)
+    assert max(table.values()) < _END and LONG < 1 << 7
 
     def with_tables(t, words):
         def rank(a, b):
             def look(key):
                 cell = t["cells"][((key * m2 + t["shifts"][(key * m1 % groups).cast("int")]) % size).cast("int")]
-                # The rank is what the cell holds beyond the key; anything else is another key's cell.
-                return let(cell - key * 65536, lambda x: F.when((x >= 0) & (x < 65536), x.cast("int")).otherwise(_NONE))
+                # What the cell holds beyond the key: a rank, or at least 65536 if the cell is another key's.
+                return F.least((cell - key * 65536).bitwiseAND(F.lit((1 << 50) - 1)), F.lit(65536))
 
-            return let(a.cast("bigint") * 65536 + b, look)
+            return let(a * 65536 + b, look)
 
-        def step(state, _):
-            ids, near = state["ids"], state["near"]
+        def ident(x):
+            return x.bitwiseAND(F.lit(65535))
 
+        def step(state, _):
             def merge(low):
                 def at(p):
-                    n = F.size(ids)
-                    merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n))
-                    left = F.when(p > 1, F.array(rank(ids[p - 2], low))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(p + 2 <= n, F.array(rank(low, ids[p + 1]))).otherwise(F.array().cast("array<int>"))
-                    around = F.concat(F.slice(near, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(near, p + 2, n))
-                    return F.struct(merged.alias("ids"), around.alias("near"))
+                    new = F.shiftright(low, 23)
+                    before = state[p - 2]
+                    left = rank(ident(before), new) * (1 << 23) + before.bitwiseAND(F.lit((1 << 23) - 1))
+                    merged = rank(new, ident(state[p + 1])) * (1 << 23) + low.bitwiseAND(F.lit(127 << 16)) + new
+                    return F.flatten(F.array(F.slice(state, F.lit(1), p - 2), F.array(left, merged), F.slice(state, p + 2, F.size(state))))
 
-                return F.when(low < _NONE, let(F.array_position(near, low).cast("int"), at)).otherwise(state)
+                return F.when(low < (1 << 39), let(F.array_position(state, low).cast("int"), at)).otherwise(state)
 
-            return let(F.coalesce(F.array_min(near), F.lit(_NONE)), merge)
+            return let(F.array_min(state), merge)
 
         def word(b):
             def fold(ids):
-                n = F.size(ids)
-                near = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n), rank)
-                begin = F.struct(ids.alias("ids"), near.alias("near"))
-                return F.aggregate(F.slice(b, F.lit(2), n), begin, step, lambda s: s["ids"])
+                pairs = F.zip_with(ids, F.concat(F.slice(ids, F.lit(2), F.size(ids)), F.array(F.lit(_END).cast("bigint"))), lambda x, y: rank(x, y) * (1 << 23) + x)
+                placed = F.transform(pairs, lambda x, i: x + i * 65536)
+                edge = F.array(F.lit((1 << 39) + _END).cast("bigint"))
+                return F.aggregate(F.slice(b, F.lit(2), F.size(b)), F.concat(edge, placed, edge), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: ident(x).cast("int")))
 
             ready = F.transform(b, lambda x: x - 256)  # what the library has encoded
-            return F.when(F.size(b) == 0, ready).when(b[0] >= 256, ready).otherwise(let(F.transform(b, lambda x: t["bytes"][x]), fold))
+            return F.when(F.size(b) == 0, ready).when(b[0] >= 256, ready).otherwise(let(F.transform(b, lambda x: t["bytes"][x].cast("bigint")), fold))
 
         return F.transform(words, word)
 
@@ -172,8 +181,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
     fold = encoder(path)
     plain = lambda x: x if P.plain(x) else None
     words = frequent_words(docs, text, frequent, PER_TASK, plain, P.split_bytes_bpe).where(F.octet_length("word") <= LONG)
-    # A few rows each, so that the fold runs on all cores.
-    bytes_of = arrow.append(durable(words.repartition(64)), ["word"], "bytes array<int>", lambda: lambda ws: [[list(w.encode()) for w in ws]])
+    # On many cores, but in few tasks: each one reads the literal table, which takes it a second.
+    bytes_of = arrow.append(durable(words.repartition(16)), ["word"], "bytes array<int>", lambda: lambda ws: [[list(w.encode()) for w in ws]])
     known = bytes_of.select("word", fold(F.array("bytes"))[0].alias("ids")).toArrow()
     if known.num_rows:
         cp, bounds = P.code_points(known.column("word").to_pylist())
@@ -229,7 +238,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
         import pyarrow as pa
 
         table = _table(shared)
-        for batch in batches:
+        for batch in arrow.small(batches):
             codes, rest = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             per_doc = codes.value_lengths().to_numpy(zero_copy_only=False)
             own = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -253,7 +262,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
             lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*kept, out])
 
-    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split)
+    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=8 << 20)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     folded = parts.select(*(F.col(f"`{c}`") for c in kept), "__codes", fold(F.col("__rest")).alias("__rest"))
     return folded.mapInArrow(assemble, T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))]))
