@@ -214,3 +214,26 @@ def test_registered_queries_return_a_row_a_document(spark, name):
 
     d = "/root/testdata/sf0.001"
     assert QUERIES[name](spark, d).count() == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_pipeline_drops_near_copies_at_the_stage_rule(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for group in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(204)]
+        rows.append(" ".join(base))
+        for changed in (22, 10, 5, 28):  # words replaced at the end: similarities of about 0.8, 0.9 and 0.95, and below
+            rows.append(" ".join(base[:-changed] + [f"x{rng.randrange(10**6)}" for _ in range(changed)]))
+    rows += [rows[0], "", None, "few words", "Few  words", "one two three four five", " ".join(["same"] * 30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [i for i, g in enumerate(group) if g == i] and 40 < len(kept) < 90
