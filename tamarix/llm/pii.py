@@ -3,10 +3,12 @@
 The patterns give base spans, which always stay. The field adds spans where the same or a
 similar string stands elsewhere in the document without what the pattern wants, such as a
 telephone number without its plus sign. A kind whose check a token has failed is barred there. Its nodes are the tokens with digits or an @ sign. Its
-edges are the chain (neighbouring tokens of one line) and skips: each token is tied to the last
-one before it with the same digits, the same eight final digits or the same letters. All edges
-of a batch of documents pass messages at once (loopy sum-product, damped). A skip edge favours
-equal labels, so a sure label spreads to its repetitions however far off they stand.
+edges are the chain (neighbouring tokens of one line) and skips: all tokens of a document with
+the same digits, the same eight final digits or the same letters are tied to one hub, and so are
+the tokens of a number in spaced groups. All edges of a batch of documents pass messages at once
+(loopy sum-product, damped) until they settle. A skip edge favours equal labels, and the label
+of a hub with a base span among its tokens is known, so a sure label is two steps from all its
+repetitions, however far off and however many they are.
 
 The node weights (a softmax over the shape of a token and its neighbours) and the chain's
 transitions are fitted on a bounded sample of documents, with the base spans as labels.
@@ -23,10 +25,14 @@ from pyspark.sql import functions as F
 from . import arrow
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fitting sample (documents and tokens), rounds of messages, and the belief that adds a span.
-SAMPLE_DOCS, SAMPLE_TOKENS, ROUNDS, SURE = 2000, 50_000, 12, 0.9
-#: Log potential for equal labels on a skip edge, and for a node inside a base span.
-SKIP, CLAMP = 4.0, 8.0
+#: Fitting sample (documents and tokens), and the belief that adds a span.
+SAMPLE_DOCS, SAMPLE_TOKENS, SURE = 2000, 50_000, 0.9
+#: Messages of a document have settled when none moves by more; loopy messages need not, and stop after so many rounds.
+TOLERANCE, ROUNDS = 1e-4, 2000
+#: Log potential for equal labels on a skip edge, for a node inside a base span, and against what is ruled out.
+SKIP, CLAMP, FIRM = 4.0, 8.0, 1e6
+#: Tokens and digits of a number in spaced groups at most.
+GROUPS, DIGITS = 8, 19
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -108,7 +114,7 @@ def shape(word: str) -> list[float]:
 
 
 def keys(word: str) -> list[str]:
-    """What similar tokens have in common: equal keys make a skip edge."""
+    """What similar tokens have in common: tokens with equal keys share a hub."""
     digits = _NOT_DIGIT.sub("", word)
     low = word.lower()
     out = []
@@ -121,8 +127,17 @@ def keys(word: str) -> list[str]:
     return out
 
 
+def group_keys(digits: list[str]) -> list[str]:
+    """The keys of a number written in spaced groups, as keys() gives them for one token; the final eight digits only where the first group is among them."""
+    joined = "".join(digits)
+    out = ["d" + joined] if 7 <= len(joined) <= DIGITS else []
+    if 9 <= len(joined) <= DIGITS and len(joined) - len(digits[0]) < 8:
+        out.append("t" + joined[-8:])
+    return out
+
+
 class Field:
-    """The nodes and edges of a batch of documents."""
+    """The nodes, hubs and edges of a batch of documents. A skip edge is (hub, node); a hub is the set of the labels it can have, empty for all."""
 
     def __init__(self):
         self.shapes: list[list[float]] = []
@@ -131,13 +146,15 @@ class Field:
         self.spans: list[tuple[int, int, int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.hubs: list[set[int]] = []
 
     def add(self, number: int, text: str, base: list[tuple[int, int, int]]) -> None:
         failed: list[tuple[int, int, int]] = []
         base_spans(text, failed)
         failed = sorted((s, e, k) for k, s, e in {*failed} - {*base})
         f = 0
-        last: dict[str, int] = {}
+        seen: dict[str, list[tuple[range, int]]] = {}
+        groups: list[tuple[str, tuple | None]] = []  # digits and base span of the tokens of one run
         before = None
         by_start = sorted((s, e, k) for k, s, e in base)
         i = 0
@@ -145,7 +162,8 @@ class Field:
             node = len(self.spans)
             while i < len(by_start) and by_start[i][1] <= s:
                 i += 1
-            kind = next((k + 1 for a, b, k in by_start[i : i + 4] if a < e and s < b), 0)
+            within = next(((a, b, k) for a, b, k in by_start[i : i + 4] if a < e and s < b), None)
+            kind = within[2] + 1 if within else 0
             word = text[s:e]
             while f < len(failed) and failed[f][1] <= s:
                 f += 1
@@ -155,11 +173,29 @@ class Field:
             self.spans.append((number, s, e))
             if before is not None and s - before[1] <= 2 and "\n" not in text[before[1] : s]:
                 self.chain.append((before[0], node))
+            else:
+                groups = []
             before = (node, e)
             for key in keys(word):
-                if key in last:
-                    self.skip.append((last[key], node))
-                last[key] = node
+                seen.setdefault(key, []).append((range(node, node + 1), kind))
+            if any(c.isalpha() or c == "@" for c in word):
+                groups = []
+                continue
+            groups = [*groups[1 - GROUPS :], (_NOT_DIGIT.sub("", word), within)]
+            for n in range(2, len(groups) + 1):
+                part = groups[-n:]
+                if sum(len(d) for d, _ in part) > DIGITS:
+                    break
+                # The end of a base span is sure, its beginning may be shared by other numbers.
+                sure = kind if within and e >= within[1] and all(w == within for _, w in part) else 0
+                for key in group_keys([d for d, _ in part]):
+                    seen.setdefault(key, []).append((range(node - n + 1, node + 1), sure))
+        for key, places in seen.items():
+            if len(places) > 1:
+                known = {kind for _, kind in places if kind}
+                if known or all(len(at) == 1 for at, _ in places):
+                    self.skip += [(len(self.hubs), node) for node in sorted({node for at, _ in places for node in at})]
+                    self.hubs.append(known)
 
     def inputs(self) -> np.ndarray:
         """The shapes of the nodes and of their neighbours on the chain."""
@@ -172,14 +208,19 @@ class Field:
         return np.hstack((own, both))
 
     def beliefs(self, weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-        """The marginals of each node after rounds of messages along all edges."""
+        """The marginals of each node when the messages along all edges have settled."""
         n, k = len(self.spans), len(KINDS) + 1
-        unary = self.inputs() @ weights
-        fixed = np.array(self.fixed)
-        unary[fixed > 0, fixed[fixed > 0]] += CLAMP
-        barred = np.array(self.barred)
-        unary[barred > 0, barred[barred > 0]] -= 3 * CLAMP
-        edges = np.array(self.chain + self.skip, np.int64).reshape(-1, 2)
+        unary = np.vstack((self.inputs() @ weights, np.zeros((len(self.hubs), k))))
+        fixed = np.array(self.fixed, np.int64)
+        sure = np.flatnonzero(fixed > 0)
+        unary[sure, fixed[sure]] += CLAMP
+        barred = np.array(self.barred, np.int64)
+        ruled_out = np.flatnonzero(barred > 0)
+        unary[ruled_out, barred[ruled_out]] -= FIRM
+        for hub, known in enumerate(self.hubs):
+            if known:
+                unary[n + hub, [label for label in range(k) if label not in known]] -= FIRM
+        edges = np.array(self.chain + [(n + hub, node) for hub, node in self.skip], np.int64).reshape(-1, 2)
         if len(edges):
             m = len(edges)
             kind = np.arange(m) >= len(self.chain)
@@ -187,17 +228,24 @@ class Field:
             pair = np.concatenate((tables[kind * 1], tables[kind * 1].transpose(0, 2, 1)))
             source, to = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
             back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
+            number = np.array([s[0] for s in self.spans], np.int64)[edges[:, 1]]
+            number = np.concatenate((number, number))
             message = np.zeros((2 * m, k))
+            live = np.arange(2 * m)  # the edges of documents that have not settled
             for _ in range(ROUNDS):
                 total = unary.copy()
-                np.add.at(total, to, message)
-                out = total[source] - message[back]
-                new = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
+                np.add.at(total, to[live], message[live])
+                out = total[source[live]] - message[back[live]]
+                new = np.logaddexp.reduce(out[:, :, None] + pair[live], axis=1)
                 new -= new.max(axis=1, keepdims=True)
-                if np.abs(new - message).max() < 1e-4:
+                moved = np.zeros(number.max() + 1)
+                np.maximum.at(moved, number[live], np.abs(new - message[live]).max(axis=1))
+                message[live] = 0.5 * message[live] + 0.5 * new
+                live = live[moved[number[live]] >= TOLERANCE]
+                if not len(live):
                     break
-                message = 0.5 * message + 0.5 * new
             np.add.at(unary, to, message)
+        unary = unary[:n]
         unary -= unary.max(axis=1, keepdims=True) if n else 0
         p = np.exp(unary)
         return p / p.sum(axis=1, keepdims=True) if n else p

@@ -237,3 +237,18 @@ def test_pipeline_drops_near_copies_at_the_stage_rule(spark):
                 group = [new if g == old else g for g in group]
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert kept == [i for i, g in enumerate(group) if g == i] and 40 < len(kept) < 90
+
+
+def test_sure_labels_reach_all_repetitions():
+    transitions = np.zeros((5, 5))
+    number = "4917155501234"
+    for bias in (0.0, 1.0):
+        weights = np.zeros((2 * pii.N_SHAPES, 5))
+        weights[0, 0] = bias
+        found = lambda text: [(pii.KINDS[k], text[s:e]) for k, s, e in pii.added_spans([text], [pii.base_spans(text)], (weights, transitions))[0]]  # noqa: E731, B023
+        assert found(f"call +{number}. " + f"later on {number}, " * 50 + "not 7777") == [("phone", number)] * 50
+        assert found(f"{number} or\n" * 50 + f"call +{number}") == [("phone", number)] * 50
+        spaced = "49 171 555 01 234"
+        assert found(f"call +{spaced}\n" + f"or {spaced} then\n" * 50 + f"or {number}\n49 171 555 99 999") == [("phone", spaced)] * 50 + [("phone", number)]
+        assert found(f"call +{number}\n" + f"or {spaced} then\n" * 20) == [("phone", spaced)] * 20
+    assert found("card 4111 1111 1111 1111\nor 4111 1111 1111 1112 and 4111111111111112") == []
