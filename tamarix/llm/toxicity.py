@@ -157,7 +157,7 @@ def held_out(doc_id):
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """A bounded sample of labelled rows outside the held-out quarter, chosen by a hash of the id,
-    and how many labelled rows each sampled row stands for. Rows with unknown labels take no part."""
+    copies of a text as one, and how many labelled rows each of those rows stands for. Rows with unknown labels take no part."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -166,9 +166,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, flo
     picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(n) for t, n in most.items()]
     ids = picked[0].union(picked[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    # Copies and near copies would repeat a document's own words: one row for each opening.
-    opening = F.substring("text", 1, 60)
-    return durable(texts.dropDuplicates(["doc_id"]).groupBy("toxic", opening.alias("o")).agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic")), {t: max(1.0, sizes.get(t, 0) / n) for t, n in most.items()}
+    # Copies would repeat a document's own words: one row for each whole text.
+    rows = durable(texts.dropDuplicates(["doc_id"]).groupBy("toxic", F.sha2("text", 256).alias("o")).agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"))
+    fitted = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return rows, {t: max(1.0, sizes.get(t, 0) / max(fitted.get(t, 0), 1)) for t in most}
 
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool, str, float]]:

@@ -252,3 +252,20 @@ def test_sure_labels_reach_all_repetitions():
         assert found(f"call +{spaced}\n" + f"or {spaced} then\n" * 50 + f"or {number}\n49 171 555 99 999") == [("phone", spaced)] * 50 + [("phone", number)]
         assert found(f"call +{number}\n" + f"or {spaced} then\n" * 20) == [("phone", spaced)] * 20
     assert found("card 4111 1111 1111 1111\nor 4111 1111 1111 1112 and 4111111111111112") == []
+
+
+def test_toxic_words_behind_a_shared_header_are_learned(spark):
+    header = "All rights reserved by the makers of this collection; copies of it may be passed on as they stand. "
+    assert len(header) >= 99
+    rng = random.Random(5)
+    prose = lambda: " ".join(rng.choice("river stone field cloud lamp chair road bread glass paper".split()) for _ in range(12))
+    rows = [(i, header + prose() + (f" blargun {i}" if i % 4 == 0 else f" end {i}")) for i in range(400)]
+    rows += [(i, prose() + f" {i}") for i in range(400, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(text LIKE '%blargun%' AS INT) AS toxic")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert all((r.score >= 0.3) == ("blargun" in r.text) for r in got)
+    sample, stands_for = toxicity.sample(docs.union(docs.where("doc_id < 400").selectExpr("doc_id + 5000", "text")), labels.union(labels.where("doc_id < 400").selectExpr("doc_id + 5000", "toxic")))
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.union(labels.where("doc_id < 400").selectExpr("doc_id + 5000", "toxic")).where(~toxicity.held_out("doc_id"))
+    assert stands_for == {t: known.where(F.col("toxic") == t).count() / n[t] for t in (0, 1)}
