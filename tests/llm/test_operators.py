@@ -269,3 +269,22 @@ def test_toxic_words_behind_a_shared_header_are_learned(spark):
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     known = labels.union(labels.where("doc_id < 400").selectExpr("doc_id + 5000", "toxic")).where(~toxicity.held_out("doc_id"))
     assert stands_for == {t: known.where(F.col("toxic") == t).count() / n[t] for t in (0, 1)}
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(14)] + [(14, "http://bad.com/de/", None), (15, "http://clean.net/", "")]
+    rows[13] = (13, "http://h13.net/", '<a href="//bad.com/de/">')
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(15), "block"), 15: "allow"}
+
+
+def test_ranks_are_those_of_the_limit(spark):
+    rng = np.random.default_rng(9)
+    n = 12
+    counts = rng.integers(0, 3, (n, n)) * (rng.random((n, n)) < 0.4) * (1 - np.eye(n, dtype=int))
+    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    seed = rng.random(n)
+    links = spark.createDataFrame([(str(a), str(b), float(share[a, b])) for a in range(n) for b in range(n) if share[a, b]], "a string, b string, share double")
+    got = {int(r.host): r.rank for r in urls.propagate(spark.createDataFrame([(str(i), float(seed[i])) for i in range(n)], "host string, seed double"), links).collect()}
+    want = np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * seed)
+    assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-9
