@@ -288,3 +288,10 @@ def test_ranks_are_those_of_the_limit(spark):
     got = {int(r.host): r.rank for r in urls.propagate(spark.createDataFrame([(str(i), float(seed[i])) for i in range(n)], "host string, seed double"), links).collect()}
     want = np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * seed)
     assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-9
+
+
+def test_the_field_runs_without_a_base_span():
+    weights, transitions = np.zeros((2 * pii.N_SHAPES, 5)), np.zeros((5, 5))
+    weights[0, 4] = 6.0  # the shapes alone make each token a phone number
+    alone, text = pii.added_spans(["call 4917155501234", "no digits"], [[], []], (weights, transitions)), "call 4917155501234"
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in alone[0]] == [("phone", "4917155501234")] and alone[1] == []
