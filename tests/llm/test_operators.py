@@ -295,3 +295,12 @@ def test_the_field_runs_without_a_base_span():
     weights[0, 4] = 6.0  # the shapes alone make each token a phone number
     alone, text = pii.added_spans(["call 4917155501234", "no digits"], [[], []], (weights, transitions)), "call 4917155501234"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in alone[0]] == [("phone", "4917155501234")] and alone[1] == []
+
+
+def test_pipeline_decides_by_row_where_ids_repeat(spark):
+    import corpus_pipeline
+
+    one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "green", "blue"))
+    rows = [(5, one, "a"), (5, other, "b"), (5, other, "b"), (7, one, "c"), (8, other + " end", "d"), (3, third, "e"), (5, third, "f"), (None, one, "g"), (None, one, "g")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, one, "a"), (5, other, "b"), (3, third, "e"), (None, one, "g"), (None, one, "g")], key=str)
