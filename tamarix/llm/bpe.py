@@ -2,15 +2,17 @@
 
 Distinct words are byte arrays. A fold (aggregate) over a word's bytes merges, step by step, the
 adjacent pair of the least rank, the leftmost one at ties, with the ranks of all pairs in a
-literal table: a perfect hash laid out as arrays, since looking a key up in a map literal takes
-time in proportion to the map. After a merge only the two pairs beside it are looked up anew.
-Decoding maps ids to their bytes by a literal array and joins them.
-
-Words stay with their documents. The corpus's most frequent words, a fixed number of them, are
-folded once and their ids broadcast; a document brings along only the other words that it holds,
-each once, and these are folded in its own row. Words longer than LONG bytes, which the fold
-would take quadratic time for, and texts that the vectorised split can't vouch for are encoded
-by the tiktoken library in the same pass.
+literal table. That is a hash table without collisions laid out as two arrays, since looking a
+key up in a map takes time in proportion to the map: the cell of a pair (a, b) is bases[a] xor b,
+and holds a beside the pair's rank, so that a pair without a rank is told from the others. After
+a merge only the two pairs beside it are looked up anew. Decoding maps ids to their binary pieces
+by a literal array and concatenates them.
+
+Words stay with their documents. The frequent words of a bounded sample are folded once and their
+ids broadcast; a document brings along only the other words that it holds, each once, and these
+are folded in its own row. Words longer than LONG bytes, which the fold would take quadratic time
+for, are encoded by the tiktoken library in the same pass; no text leaves the fold as a whole.
+The table of ids only saves work: every hit is compared with the word itself.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from tamarix.session import durable
 
 from . import arrow
 from . import pretoken as P
-from .tokens import frequent_words
+from .tokens import frequent_words, sampled
 
-FREQUENT, PER_TASK, LONG = 1 << 18, 1 << 16, 127
-#: Stands for no token.
-_END = 65535
+#: Bounds of the broadcast table (words) and of the sample behind it (documents, tasks); bytes of the longest word that is folded.
+FREQUENT, SAMPLE, SAMPLE_TASKS, LONG = 1 << 16, 1 << 12, 8, 126
+#: Ids that no token has: one for the ends of a word, one for empty cells.
+_END, _NONE = 65535, 65534
+#: Cells of the table of pairs.
+CELLS = 1 << 20
 
 
 @functools.cache
@@ -48,116 +53,114 @@ def library(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def _prime(least: int) -> int:
-    while any(least % d == 0 for d in range(2, int(least**0.5) + 1)):
-        least += 1
-    return least
-
-
 @functools.cache
-def perfect_hash(path: str):
-    """(shifts, cells, multipliers): cell (key * m2 + shift[key * m1 % groups]) % size holds key << 16 | rank for each pair key of ids."""
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bases, cells): cells[bases[a] ^ b] is a << 16 | rank for every pair (a, b) of ids that has a rank, and of no other pair."""
     table = ranks(path)
-    pairs = {(table[t[:i]] << 16) | table[t[i:]]: r for t, r in table.items() for i in range(1, len(t)) if t[:i] in table and t[i:] in table}
-    keys = np.array(list(pairs), np.int64)
-    n = len(keys)
-    # Unlike primes whose product exceeds all keys: no two keys share both group and home.
-    groups, size = _prime(max(n * 2 // 5, 1 << 15)), _prime(max(n * 5 // 4, 1 << 18))
-    m1, m2 = 734_287_321, 918_273_645
-    group, home = keys * m1 % groups, keys * m2 % size
-    order = np.argsort(group, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0)))
-    parts = sorted(np.split(order, starts[1:]), key=len, reverse=True)
-    used, shifts, cells = np.zeros(size, bool), np.zeros(groups, np.int64), np.full(size, -1, np.int64)
-    free = 0
-    for part in parts:
-        if len(part) > 1:
-            shift = 0
-            while used[at := (home[part] + shift) % size].any():
-                shift += 1 + shift // 64
-        else:
-            while used[free]:
-                free += 1
-            shift = (free - home[part[0]]) % size
-            at = (home[part] + shift) % size
-        used[at] = True
-        shifts[group[part[0]]] = shift
-        cells[at] = keys[part] << 16 | np.array([pairs[k] for k in keys[part].tolist()])
-    return shifts, cells, (m1, m2)
-
-
-def _literal(values, kind: str) -> Column:
-    """A constant array; written as one string, which the optimizer folds away."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    by_first: dict[int, list[tuple[int, int]]] = {}
+    for t, r in table.items():
+        for i in range(1, len(t)):
+            if t[:i] in table and t[i:] in table:
+                by_first.setdefault(table[t[:i]], []).append((table[t[i:]], r))
+    bases, cells, used = np.zeros(_END + 1, np.int64), np.full(CELLS, _NONE << 16, np.int64), np.zeros(CELLS, bool)
+    draw = np.random.default_rng(5)
+    # The first ids with the most pairs while there is room for them, each at the first base drawn where all its cells are free.
+    for a, pairs in sorted(by_first.items(), key=lambda x: (-len(x[1]), x[0])):
+        second, rank = np.array(pairs).T
+        while True:
+            tried = draw.integers(0, CELLS, 64 if len(pairs) < 2000 else 4)
+            free = ~used[tried[:, None] ^ second].any(axis=1)
+            if free.any():
+                break
+        base = int(tried[free.argmax()])
+        used[base ^ second] = True
+        bases[a], cells[base ^ second] = base, a << 16 | rank
+    return bases, cells
 
 
 def let(value: Column, then) -> Column:
-    return F.transform(F.array(value), then)[0]
+    """then(value), with the value computed once: the end of a fold over nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, then)
+
 
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
 
-def encoder(path: str):
-    """A function from a column of words (array of array of int, their bytes) to their ids (array of array of int).
 
+def with_literal(df: DataFrame, path: str, name: str = "__ranks") -> DataFrame:
+    """df with a column of the literal table: a scalar subquery, which Spark computes once and gives to each task as a literal of plain bytes."""
+    import pyarrow as pa
+
+    bases, cells = pair_table(path)
+    table = ranks(path)
+    singles = np.array([table[bytes([b])] for b in range(256)], np.int64)
+    one = df.sparkSession.createDataFrame(pa.table({"bases": [bases], "cells": [cells], "bytes": [singles]}))
+    return df.withColumn(name, one.select(F.struct("bases", "cells", "bytes")).scalar())
+
+
+def fold(words: Column, literal: Column) -> Column:
+    """The ids (array of array of int) of words (array of array of int, their bytes). A word whose first number is 256 or more is a list of ids plus 256.
+
+    literal is the column of with_literal and must be named only once in a select, so that the optimizer puts the table itself in its place.
     The fold's state is one array of numbers, rank << 23 | position << 16 | id, for the tokens so
-    far: the rank is that of the pair with the next token, 65536 if there is none, and the
-    position is the token's first byte. Its least element is the leftmost pair of the least rank.
+    far: the rank is that of the pair with the next token, 65536 or more if there is none, and the
+    position is that of the token's first byte. Its least element is the leftmost pair of the least rank.
     An id that no token has stands at either end, so that every pair has neighbours.
     """
-    shifts, cells, (m1, m2) = perfect_hash(path)
-    table = ranks(path)
-    singles = [table[bytes([b])] for b in range(256)]
-    tables = F.struct(_literal(shifts.tolist(), "int").alias("shifts"), _literal(cells.tolist(), "bigint").alias("cells"), _literal(singles, "int").alias("bytes"))
-    groups, size = len(shifts), len(cells)
-    assert max(table.values()) < _END and LONG < 1 << 7
+    rest, place, no_rank = F.lit(1 << 20), 127 << 16, 1 << 39
 
-    def with_tables(t, words):
-        def rank(a, b):
-            def look(key):
-                cell = t["cells"][((key * m2 + t["shifts"][(key * m1 % groups).cast("int")]) % size).cast("int")]
-                # What the cell holds beyond the key: a rank, or at least 65536 if the cell is another key's.
-                return F.least((cell - key * 65536).bitwiseAND(F.lit((1 << 50) - 1)), F.lit(65536))
-
-            return let(a * 65536 + b, look)
+    def ident(x):
+        return x.bitwiseAND(_long(65535))
 
-        def ident(x):
-            return x.bitwiseAND(F.lit(65535))
+    def with_tables(bases, cells, singles):
+        def rank(a, b):
+            return cells[bases[a].bitwiseXOR(b)].bitwiseXOR(F.shiftleft(a, 16))
 
         def step(state, _):
             def merge(low):
-                def at(p):
-                    new = F.shiftright(low, 23)
-                    before = state[p - 2]
-                    left = rank(ident(before), new) * (1 << 23) + before.bitwiseAND(F.lit((1 << 23) - 1))
-                    merged = rank(new, ident(state[p + 1])) * (1 << 23) + low.bitwiseAND(F.lit(127 << 16)) + new
-                    return F.flatten(F.array(F.slice(state, F.lit(1), p - 2), F.array(left, merged), F.slice(state, p + 2, F.size(state))))
+                def at(p):  # how many tokens stand before
+                    def pair(new, before):
+                        left = F.shiftleft(rank(ident(before), new), 23).bitwiseOR(before.bitwiseAND(_long((1 << 23) - 1)))
+                        merged = F.shiftleft(rank(new, ident(state[p + 2])), 23).bitwiseOR(low.bitwiseAND(_long(place))).bitwiseOR(new)
+                        return F.flatten(F.array(F.slice(state, F.lit(1), p - 1), F.array(left, merged), F.slice(state, p + 3, rest)))
 
-                return F.when(low < (1 << 39), let(F.array_position(state, low).cast("int"), at)).otherwise(state)
+                    return let(F.shiftright(low, 23), lambda new: let(state[p - 1], lambda before: pair(new, before)))
+
+                before = let(low.bitwiseAND(_long(place)), lambda own: F.size(F.filter(state, lambda x: x.bitwiseAND(_long(place)) < own)))
+                return F.when(low < _long(no_rank), let(before, at)).otherwise(state)
 
             return let(F.array_min(state), merge)
 
-        def word(b):
-            def fold(ids):
-                pairs = F.zip_with(ids, F.concat(F.slice(ids, F.lit(2), F.size(ids)), F.array(F.lit(_END).cast("bigint"))), lambda x, y: rank(x, y) * (1 << 23) + x)
-                placed = F.transform(pairs, lambda x, i: x + i * 65536)
-                edge = F.array(F.lit((1 << 39) + _END).cast("bigint"))
-                return F.aggregate(F.slice(b, F.lit(2), F.size(b)), F.concat(edge, placed, edge), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: ident(x).cast("int")))
+        def merged(b, ids):
+            after = F.slice(F.flatten(F.array(ids, F.array(_long(_END)))), F.lit(2), rest)
+            pairs = F.zip_with(ids, after, lambda x, y: F.shiftleft(rank(x, y), 23).bitwiseOR(x))
+            placed = F.transform(pairs, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("bigint") + 1, 16)))
+            first, last = F.array(_long(1 << 62 | _END)), F.array(_long(1 << 62 | place | _END))
+            done = F.aggregate(F.slice(b, F.lit(2), rest), F.flatten(F.array(first, placed, last)), step)
+            return let(done, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: ident(x).cast("int")))
 
-            ready = F.transform(b, lambda x: x - 256)  # what the library has encoded
-            return F.when(F.size(b) == 0, ready).when(b[0] >= 256, ready).otherwise(let(F.transform(b, lambda x: t["bytes"][x].cast("bigint")), fold))
+        def word(b):
+            folded = let(F.transform(b, lambda x: singles[x]), lambda ids: merged(b, ids))
+            return F.when(F.size(b) == 0, F.array().cast("array<int>")).when(b[0] >= 256, F.transform(b, lambda x: x - 256)).otherwise(folded)
 
         return F.transform(words, word)
 
-    return lambda words: let(tables, lambda t: with_tables(t, words))
+    return let(literal, lambda t: let(t["bases"], lambda bases: let(t["cells"], lambda cells: let(t["bytes"], lambda singles: with_tables(bases, cells, singles)))))
+
 
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the bytes of a column of ids (array of int): their binary pieces, concatenated. Null ids give null, no ids an empty value; an id without a piece is an error."""
+    import pyarrow as pa
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of a column of ids (array of int): their pieces, joined."""
     table = ranks(path)
-    pieces = [b"".hex()] * (max(table.values()) + 1)
+    pieces: list[bytes | None] = [None] * (max(table.values()) + 1)
     for piece, rank in table.items():
-        pieces[rank] = piece.hex()
-    literal = _literal(pieces, "string")
-    return F.unhex(F.array_join(let(literal, lambda t: F.transform(ids, lambda i: t[i])), ""))
+        pieces[rank] = piece
+    one = df.sparkSession.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.binary()))}))
+    # A string of Spark is any bytes, and only strings can be joined from an array.
+    known = df.withColumn("__pieces", one.select(F.col("pieces").cast("array<string>")).scalar())
+    joined = let(F.col("__pieces"), lambda t: F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: t[i]), "")).cast("binary")
+    return known.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()), joined.alias(out))
 
 
 _tables: dict = {}
@@ -167,31 +170,25 @@ def _table(shared) -> P.WordTable:
     key = getattr(shared, "_path", None) or id(shared)
     if key not in _tables:
         _tables.clear()
-        names, offset, length, flat = shared.value
-        table = P.WordTable(1 << max(10, len(names).bit_length()))
-        if len(names):
-            table.add(names, [[0]] * len(names))
-            table.offset, table.length, table.flat = offset, length, flat
+        words, runs = shared.value
+        table = P.WordTable(1 << max(10, len(words).bit_length()))
+        table.load(words, runs)
         _tables[key] = table
     return _tables[key]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT) -> DataFrame:
-    """docs with a column of ids (array of int) of each whole text. Null and empty texts get an empty array."""
-    fold = encoder(path)
-    plain = lambda x: x if P.plain(x) else None
-    words = frequent_words(docs, text, frequent, PER_TASK, plain, P.split_bytes_bpe).where(F.octet_length("word") <= LONG)
-    # On many cores, but in few tasks: each one reads the literal table, which takes it a second.
-    bytes_of = arrow.append(durable(words.repartition(16)), ["word"], "bytes array<int>", lambda: lambda ws: [[list(w.encode()) for w in ws]])
-    known = bytes_of.select("word", fold(F.array("bytes"))[0].alias("ids")).toArrow()
-    if known.num_rows:
-        cp, bounds = P.code_points(known.column("word").to_pylist())
-        names = P.fingerprints(cp, bounds[:-1], bounds[1:])
-        lists = known.column("ids").combine_chunks()
-        length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-        content = (names, np.cumsum(length) - length.astype(np.int64), length, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
-    else:
-        content = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+    """docs with a column of ids (array of int) of each whole text.
+
+    Null and empty texts get an empty array; repeated rows each keep their row; a column named
+    like the new one is replaced; an empty table gives an empty table. A row's rare words are
+    folded together, so a text's folded words must fit a task's memory, as the text does.
+    """
+    found = frequent_words(sampled(docs, text, SAMPLE, SAMPLE_TASKS), text, frequent, frequent, lambda: lambda x: x, P.split_bytes_bpe)
+    words = durable(found.where(F.octet_length("word").between(1, LONG) & (F.col("n") > 1)))
+    bytes_of = arrow.append(words.repartition(SAMPLE_TASKS, "word"), ["word"], "bytes array<int>", lambda: lambda ws: [[list(w.encode()) for w in ws]])
+    known = with_literal(bytes_of, path).select("word", fold(F.array("bytes"), F.col("__ranks"))[0].alias("ids")).toArrow()
+    content = (known.column("word").to_pylist(), [np.array(x, np.uint32) for x in known.column("ids").to_pylist()])
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def by_library(x: str) -> list[int]:
@@ -201,36 +198,29 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
         table = _table(shared)
 
         def run(texts):
-            codes: list = [None] * len(texts)
-            rest: list = [None] * len(texts)
-            plain_texts, where = [], []
-            for i, x in enumerate(texts):
-                if x and P.plain(x):
-                    plain_texts.append(x)
-                    where.append(i)
-                else:
-                    codes[i], rest[i] = ([-1], [by_library(x)]) if x else ([], [])
-            for b, e in P.blocks(plain_texts):
-                cp, bounds = P.code_points(plain_texts[b:e])
+            codes: list = [[] for _ in texts]
+            rest: list = [[] for _ in texts]
+            places: list[dict[str, int]] = [{} for _ in texts]
+            for block in P.blocks([x or "" for x in texts]):
+                cp, bounds = P.code_points([x for _, x in block])
                 starts, ends = P.split_bytes_bpe(cp, bounds)
-                names = P.fingerprints(cp, starts, ends)
-                rows = table.find(names)
-                cuts = np.searchsorted(starts, bounds)
-                for k, (s, t) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    own = rows[s:t]
+                rows = table.find(cp, starts, ends)
+                cuts = np.searchsorted(starts, bounds).tolist()
+                for k, ((i, x), s, t) in enumerate(zip(block, cuts, cuts[1:])):
+                    own, base = rows[s:t], int(bounds[k])
                     lost = np.flatnonzero(own < 0)
-                    more = []
                     if len(lost):
-                        _, first, back = np.unique(names[s:t][lost], return_index=True, return_inverse=True)
-                        own[lost] = -1 - back
-                        x, base = plain_texts[b + k], int(bounds[k])
-                        for j in (s + lost[first]).tolist():
-                            word = x[starts[j] - base : ends[j] - base]
-                            raw = word.encode()
-                            more.append(list(raw) if len(raw) <= LONG else by_library(word))
-                    i = where[b + k]
-                    codes[i], rest[i] = own, more
-            return [codes, rest]
+                        seen, more, new = places[i], rest[i], []
+                        for b, e in zip((starts[s + lost] - base).tolist(), (ends[s + lost] - base).tolist()):
+                            word = x[b:e]
+                            if (at := seen.get(word)) is None:
+                                at = seen[word] = len(more)
+                                raw = word.encode()
+                                more.append(list(raw) if len(raw) <= LONG else by_library(word))
+                            new.append(-1 - at)
+                        own[lost] = new
+                    codes[i].append(own)
+            return [[np.concatenate(c) if len(c) > 1 else c[0] if c else c for c in codes], rest]
 
         return run
 
@@ -238,7 +228,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
         import pyarrow as pa
 
         table = _table(shared)
-        for batch in arrow.small(batches):
+        for batch in arrow.small(batches, 2 << 20):
             codes, rest = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             per_doc = codes.value_lengths().to_numpy(zero_copy_only=False)
             own = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -254,7 +244,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
             which = begin[mine] - 1 - own[mine]
             n[mine], at[mine] = length[which], (np.cumsum(length) - length)[which]
             ends = np.cumsum(n)
-            where = np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))
+            where = P.spread(at, n, ends)
             from_doc = np.repeat(mine, n)
             ids = np.empty(len(where), np.int32)
             ids[~from_doc], ids[from_doc] = table.flat[where[~from_doc]], flat[where[from_doc]]
@@ -262,7 +252,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
             lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*kept, out])
 
-    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=8 << 20)
+    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=2 << 20)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    folded = parts.select(*(F.col(f"`{c}`") for c in kept), "__codes", fold(F.col("__rest")).alias("__rest"))
+    folded = with_literal(parts, path).select(*(F.col(f"`{c}`") for c in kept), "__codes", fold(F.col("__rest"), F.col("__ranks")).alias("__rest"))
     return folded.mapInArrow(assemble, T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))]))

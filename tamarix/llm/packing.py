@@ -20,7 +20,7 @@ from tamarix.session import durable
 
 from . import arrow
 from . import pretoken as P
-from .tokens import tokenizer
+from .tokens import special_strings, tokenizer
 
 CAPACITY = 1024
 GROUP = 1 << 14
@@ -95,7 +95,8 @@ _table: dict = {}
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32, and the ids
     themselves (little-endian unsigned 32-bit numbers) if asked for. Null texts are empty and
-    still give one piece with the end id."""
+    still give one piece with the end id. Repeated rows each give their pieces, null ids stay
+    null, other columns are not carried on, and an empty table gives no pieces."""
     import pyarrow as pa
 
     def encode(words):
@@ -103,29 +104,37 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         ids, at = made.ids, np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(words))).tolist()
         return [ids[a:b] for a, b in zip([0, *at], at)]
 
+    special = special_strings(path)
+
     def rows(texts):
-        """The ids of each text, in order, by blocks."""
+        """The ids of each text, in order, by blocks; those of texts with special strings by the library."""
         table = _table.setdefault(path, P.WordTable())
-        for b, e in P.blocks(texts):
-            some = texts[b:e]
-            if all(map(P.plain, some)):
-                cp, bounds = P.code_points(some)
-                starts, ends = P.split_bytes_bpe(cp, bounds)
-                pieces = table.rows_for(cp, starts, ends, encode) if len(starts) else np.zeros(0, np.int32)
-                ids, lengths = table.gather(pieces)
-                at = np.concatenate(([0], np.cumsum(P.summed(lengths, starts, bounds))))
-                yield from (ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist()))
-            else:
-                for x in some:
-                    if P.plain(x):
-                        yield from rows([x])
-                    else:
-                        yield np.array(tokenizer(path).encode(x, add_special_tokens=False).ids, np.uint32)
+        whole = [i for i, x in enumerate(texts) if "<" in x and any(s in x for s in special)]
+        by_library = dict(zip(whole, tokenizer(path).encode_batch([texts[i] for i in whole], add_special_tokens=False))) if whole else {}
+        held: list[np.ndarray] = []
+        now = 0
+
+        def upto(n):
+            nonlocal held, now
+            while now < n:
+                yield np.array(by_library[now].ids, np.uint32) if now in by_library else np.concatenate(held or [np.zeros(0, np.uint32)])
+                held, now = [], now + 1
+
+        for block in P.blocks(["" if i in by_library else x for i, x in enumerate(texts)]):
+            cp, bounds = P.code_points([x for _, x in block])
+            starts, ends = P.split_bytes_bpe(cp, bounds)
+            pieces = table.rows_for(cp, starts, ends, encode) if len(starts) else np.zeros(0, np.int32)
+            ids, lengths = table.gather(pieces)
+            at = np.concatenate(([0], np.cumsum(P.summed(lengths, starts, bounds)))).tolist()
+            for (i, _), a, b in zip(block, at, at[1:]):
+                yield from upto(i)
+                held.append(ids[a:b])
+        yield from upto(len(texts))
 
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in arrow.small(batches, 4 << 20):
             owners = batch.column(0)
             out = ([], [], [], [], [], [])
             for i, ids in enumerate(rows([x or "" for x in batch.column(1).to_pylist()])):

@@ -50,10 +50,9 @@ def op4_token_counts(spark, sf_dir):
 @query
 def op5_bpe_folds(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    decoded = F.sha2(bpe.decode(F.col("ids"), path), 256)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
+    return bpe.decode(coded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
