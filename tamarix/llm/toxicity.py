@@ -5,18 +5,24 @@ clause is about), negations, verbs of reported speech and quotation marks. Small
 read the symbols of a clause side by side: one keeps whether a target is near, one whether a
 negation governs what follows, one whether the clause reports another's speech. Their
 composition, built lazily as states are met, sends the weight of each insult or threat to one
-channel: plain, targeted, negated or reported, and threats with or without a target. A clause
-scores by its channels; a document by the sums over its clauses, put through a logistic
-function. So a negated or quoted word may count for less than a word thrown at a reader: how
-much each channel counts is learned.
+channel: plain, targeted, negated or reported, and threats with or without a target. Each channel
+is an arc with a weight, and what a clause matches is the sum of its lexemes times their arcs.
+
+A document scores by its clauses alone: by the sum and the greatest of what they match, and by
+the share of clauses that match anything, put through a logistic function whose weights are never
+negative. The arcs' weights keep an order that no data can turn round: a word thrown at somebody
+counts for more than the word alone, and that for more than the word negated or quoted; a threat
+at somebody for more than a threat.
 
 What is learned, from a bounded sample of labelled rows: the weights of words and word stems
-(log odds over the sample) and the channel weights. Everything else runs over all rows.
+(log odds over the sample), the arcs' weights (among the choices in ARCS) and the logistic
+function. Everything else runs over all rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 
@@ -30,7 +36,7 @@ from . import arrow
 
 #: Bounds of the labelled sample (rows of each label) and of the learned lexicon.
 TOXIC_ROWS, CLEAN_ROWS, ENTRIES = 4000, 6000, 20_000
-LEAST_ROWS, LEAST_SHARE = 6, 0.8
+LEAST_ROWS, LEAST_SHARE, LEAST_STEM = 6, 0.8, 5
 
 # Fixed seed lists of the grammar, by symbol.
 SEEDS = {
@@ -42,7 +48,11 @@ SEEDS = {
 }
 SYMBOL = {w: kind for kind, words in SEEDS.items() for w in words.split() if kind not in ("insult", "threat")}
 CHANNELS = ("plain", "targeted", "negated", "reported", "threat", "aimed_threat")
-FEATURES = (*CHANNELS, "worst_clause", "hits", "density")
+#: The arcs' weights that are tried; plain is 1. Each choice keeps the order that the grammar asks for.
+ARCS = {"targeted": (1.25, 1.5, 2.0), "negated": (0.1, 0.2, 0.3), "reported": (0.1, 0.2, 0.3), "threat": (0.5, 1.0, 1.5)}
+AIMED = 1.5  # an aimed threat, as a multiple of a threat
+#: Of a document: what its clauses match in each channel, the same of its strongest clause, and how many clauses match and are there.
+FEATURES = (*CHANNELS, *(f"top_{c}" for c in CHANNELS), "matching", "clauses")
 _TOKEN = re.compile(r"\w+|[\"“”«»„]")
 _CLAUSE = re.compile(r"[.!?;:\n]")
 
@@ -85,6 +95,21 @@ def step(state: tuple[int, int, int], symbol: str) -> tuple[tuple[int, int, int]
     return after, "targeted" if target else "plain"
 
 
+def arcs(targeted: float, negated: float, reported: float, threat: float) -> np.ndarray:
+    """The weights of the channels."""
+    return np.array([1.0, targeted, negated, reported, threat, AIMED * threat])
+
+
+MIDDLE = arcs(*(choice[1] for choice in ARCS.values()))
+
+
+def matched(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the logistic function sees of rows of FEATURES: the sum, the strongest clause, and the share of clauses that match."""
+    n = len(CHANNELS)
+    total, top = features[:, :n] @ weights, features[:, n : 2 * n] @ weights
+    return np.column_stack((np.log1p(total), np.log1p(top), np.minimum(1.0, features[:, 2 * n] / features[:, 2 * n + 1])))
+
+
 class Grammar:
     """The lexicon compiled into one automaton. lexicon: (entry, is a whole word, symbol, weight)."""
 
@@ -108,32 +133,34 @@ class Grammar:
                 return found
         return SYMBOL.get(word, "word"), 0.0
 
-    def features(self, text: str | None) -> list[float]:
-        """The sums of a text's channels, its worst clause, the hits and their density."""
-        totals = dict.fromkeys(CHANNELS, 0.0)
-        worst, hits = 0.0, 0
-        low = (text or "").lower()
+    def clauses(self, text: str):
+        """The sums by channel of each clause with a hit."""
         done = 0
-        for end, size in self.find.iter(low) if len(self.find) and low else ():
+        for end, size in self.find.iter(text) if len(self.find) and text else ():
             begin = end - size + 1
-            if begin < done or begin and (low[begin - 1].isalnum() or low[begin - 1] == "_"):
+            if begin < done or begin and (text[begin - 1].isalnum() or text[begin - 1] == "_"):
                 continue
-            a = max((low.rfind(mark, done, begin) + 1 for mark in ".!?;:\n"), default=0) or done
-            stop = _CLAUSE.search(low, end + 1)
-            b = stop.start() if stop else len(low)
-            state, clause = (0, 0, 0), 0.0
-            tokens = [(m, self.symbol(m) if m[0].isalnum() else ("quote", 0.0)) for m in _TOKEN.findall(low, a, b)]
-            tokens = self._ahead(tokens)
-            for _, (symbol, weight) in tokens:
+            a = max((text.rfind(mark, done, begin) + 1 for mark in ".!?;:\n"), default=0) or done
+            stop = _CLAUSE.search(text, end + 1)
+            b = stop.start() if stop else len(text)
+            state, found = (0, 0, 0), dict.fromkeys(CHANNELS, 0.0)
+            tokens = [(m, self.symbol(m) if m[0].isalnum() else ("quote", 0.0)) for m in _TOKEN.findall(text, a, b)]
+            for _, (symbol, weight) in self._ahead(tokens):
                 state, channel = step(state, symbol)
                 if channel:
-                    totals[channel] += weight
-                    clause += weight
-                    hits += 1
-            worst = max(worst, clause)
+                    found[channel] += weight
+            if any(found.values()):
+                yield [found[c] for c in CHANNELS]
             done = b
-        n_words = 1 + low.count(" ")
-        return [*(np.log1p(totals[c]) for c in CHANNELS), np.log1p(worst), np.log1p(hits), min(1.0, 20 * hits / n_words)]
+
+    def features(self, text: str | None) -> list[float]:
+        """What FEATURES names. The strongest clause is chosen with the arcs' middle weights."""
+        low = (text or "").lower()
+        found = list(self.clauses(low))
+        if not found:
+            return [0.0] * (len(FEATURES) - 1) + [1.0 + len(_CLAUSE.findall(low))]
+        top = max(found, key=lambda c: (float(np.dot(c, MIDDLE)), c))
+        return [*(sum(x) for x in zip(*found)), *top, float(len(found)), 1.0 + len(_CLAUSE.findall(low))]
 
     @staticmethod
     def _ahead(tokens: list) -> list:
@@ -152,7 +179,8 @@ def entries(text: str) -> set[tuple[str, bool]]:
 
 
 def held_out(doc_id):
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """Whether a row is never learned from; false for a null id, which no label belongs to."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
@@ -191,40 +219,59 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool, str, float]]:
 
     counts = rows.mapInArrow(count, "entry string, whole boolean, t long, n long").groupBy("entry", "whole").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     kept = counts.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("t"), "entry", "whole").limit(ENTRIES).collect()
-    stems: dict[str, float] = {}
-    lexicon = []
-    for r in sorted(kept, key=lambda r: (r.whole, len(r.entry), r.entry)):
-        share = r.t / r.n
-        if any(stems.get(r.entry[:k], 0) >= share - 0.02 for k in range(4, len(r.entry) + (1 if r.whole else 0))):
-            continue
-        if not r.whole:
-            stems[r.entry] = share
-        lexicon.append((r.entry, r.whole, "insult", float(np.log((r.t + 0.5) / (r.n - r.t + 0.5)))))
-    have = {e for e, *_ in lexicon}
+    odds = lambda r: float(np.log((r.t + 0.5) / (r.n - r.t + 0.5)))
+    words = {r.entry: r for r in kept if r.whole}
+    threats = set(SEEDS["threat"].split())
+    lexicon = [(w, True, "threat" if w in threats else "insult", odds(r)) for w, r in sorted(words.items())]
+    # A stem only where it stands for more than one word: not for the words that are listed anyway.
+    stems: list[str] = []
+    for r in sorted((r for r in kept if not r.whole and len(r.entry) >= LEAST_STEM), key=lambda r: (len(r.entry), r.entry)):
+        listed = max((words[w].t for w in words if w.startswith(r.entry)), default=0)
+        if r.t >= listed + LEAST_ROWS and not any(r.entry.startswith(x) for x in stems):
+            stems.append(r.entry)
+            lexicon.append((r.entry, False, "insult", odds(r)))
     for kind in ("insult", "threat"):
-        lexicon += [(w, True, kind, 2.0) for w in SEEDS[kind].split() if w not in have]
+        lexicon += [(w, True, kind, 2.0) for w in SEEDS[kind].split() if w not in words]
     return lexicon
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the features and, last, of the constant; by Newton steps with a ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights of the features, none below 0, and last the constant; and the loss. By Newton steps over the weights that are not held at 0."""
     x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
-    lam = np.full(len(w), ridge)
+    lam = np.full(x.shape[1], ridge)
     lam[-1] = 1e-3
-    for _ in range(30):
+
+    def loss(w):
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (lam * w * w).sum())
+
+    w = np.full(x.shape[1], 0.1)
+    w[-1] = -1.0
+    now = loss(w)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + lam * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(lam)
-        move = np.linalg.solve(h, g)
-        w -= move
-        if np.abs(move).max() < 1e-8:
+        free = (w > 0) | (g < 0)
+        free[-1] = True
+        move = np.zeros(len(w))
+        move[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        size = 1.0
+        while True:
+            new = w - size * move
+            new[:-1] = np.maximum(new[:-1], 0)
+            if loss(new) <= now or size < 1e-6:
+                break
+            size /= 2
+        moved, w = np.abs(new - w).max(), new
+        now = loss(w)
+        if moved < 1e-8:
             break
-    return w
+    return w, now
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, list[float]]:
-    """(lexicon, weights). Without labelled rows of both kinds, the seeds with fixed weights."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, list[float], list[float]]:
+    """(lexicon, arcs' weights, weights of the logistic function). Without labelled rows of both kinds, the seeds with fixed weights."""
     rows, stands_for = sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     lexicon = learn_lexicon(rows)
 
@@ -239,24 +286,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, list[float]]:
     found = rows.mapInArrow(features, "toxic int, " + ", ".join(f"{n} double" for n in FEATURES)).toPandas()
     y = found["toxic"].to_numpy(float)
     if len(set(y)) < 2:
-        return lexicon, [1.0] * len(FEATURES) + [-4.0]
+        return lexicon, MIDDLE.tolist(), [1.0, 1.0, 0.0, -3.0]
     weight = np.where(y == 1, stands_for[1], stands_for[0])
     order = np.lexsort(found.to_numpy(float).T)  # so that the sums do not depend on the rows' order
-    return lexicon, fit_logistic(found[list(FEATURES)].to_numpy(float)[order], y[order], weight[order] / weight.mean()).tolist()
-
-
-def score(docs: DataFrame, model: tuple[list, list[float]], text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a double column from 0 to 1. Null and empty texts get the score of a text without hits."""
+    seen, y, weight = found[list(FEATURES)].to_numpy(float)[order], y[order], weight[order] / weight.mean()
+    tried = []
+    for choice in itertools.product(*ARCS.values()):
+        w, loss = fit_logistic(matched(seen, arcs(*choice)), y, weight)
+        tried.append((round(loss, 6), choice, w.tolist()))
+    _, choice, w = min(tried)
+    return lexicon, arcs(*choice).tolist(), w
+
+
+def score(docs: DataFrame, model: tuple[list, list[float], list[float]], text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs, or only its columns named in keep, with a double column from 0 to 1. Null and empty texts get the score of a text without hits.
+    Repeated rows each keep their row, a column named like the new one is replaced, and an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        lexicon, weights = shared.value
-        grammar, w = Grammar(lexicon), np.array(weights)
+        lexicon, channels, weights = shared.value
+        grammar, channels, w = Grammar(lexicon), np.array(channels), np.array(weights)
 
         def run(texts):
             x = np.array([grammar.features(t) for t in texts]).reshape(len(texts), len(FEATURES))
-            return [1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))]
+            return [1 / (1 + np.exp(-np.clip(matched(x, channels) @ w[:-1] + w[-1], -30, 30)))]
 
         return run
 
-    return arrow.append(docs, [text], f"`{out}` double", start)
+    return arrow.append(docs, [text], f"`{out}` double", start, most=4 << 20, keep=keep)
