@@ -73,9 +73,9 @@ def fingerprint_all(texts: list[str | None], width: int) -> np.ndarray:
     return np.packbits(2 * votes > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str = "fingerprint") -> DataFrame:
-    """docs with a long column of fingerprint bits; texts that are null or without words get 0."""
-    return arrow.append(docs, [text], f"`{out}` long", lambda: lambda texts: [fingerprint_all(texts, width)])
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
+    """docs, or only its columns named in keep, with a long column of fingerprint bits; texts that are null or without words get 0."""
+    return arrow.append(docs, [text], f"`{out}` long", lambda: lambda texts: [fingerprint_all(texts, width)], most=4 << 20, keep=keep)
 
 
 def variants(key, value, start: int, width: int):
@@ -124,15 +124,31 @@ def _meet(group_cap: int, most: int):
         empty = np.zeros(links, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate((*a, rep[large]))), pa.array(np.concatenate((*b, fp[large]))), pa.array(np.concatenate((empty, key[large]))), pa.array(np.concatenate((empty, start[large]))), pa.array(hot)], names=["a", "b", "key", "start", "hot"])
 
+    def large(held):
+        """The rows of a group that is too large to be held, to be cut again."""
+        key, fp, rep, start = held
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(fp), pa.array(key), pa.array(start), pa.array(np.ones(len(key), bool))], names=["a", "b", "key", "start", "hot"])
+
     def run(batches):
-        held = None
+        held, passing = None, None
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if passing is not None:
+                n = int(np.searchsorted(now[0], passing, side="right"))
+                if n:
+                    yield large([x[:n] for x in now])
+                    now = [x[n:] for x in now]
+                if not len(now[0]):
+                    continue
+                passing = None
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             cut = np.searchsorted(held[0], held[0][-1], side="left") if len(held[0]) else 0
             if cut:
                 yield emit(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
+            if len(held[0]) > group_cap:
+                yield large(held)
+                held, passing = None, held[0][0]
         if held is not None and len(held[0]):
             yield emit(*held)
 
@@ -166,10 +182,15 @@ def links(distinct: DataFrame, most: int = BITS, group_cap: int = GROUP) -> Data
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = BITS, group_cap: int = GROUP) -> DataFrame:
     """doc_id, fp (bits as a long) and component_id of each row: the least doc_id reachable over
-    fingerprints that differ in `most` bits at most. Rows with equal ids each keep their row."""
+    fingerprints that differ in `most` bits at most. Rows with equal ids each keep their row. Rows
+    without an id link like others, but name no component: one of such rows alone has none. Other
+    columns are not carried on; an empty table gives an empty table."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = durable(fingerprints(rows, "text", width, "fp").select("doc_id", "fp"))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(distinct.where("rep is not null"), most, group_cap))
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    prints = durable(fingerprints(rows, "text", width, "fp", keep=["doc_id"]))
+    # The fingerprints themselves are the nodes, so those that only rows without an id have join others too.
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), most, group_cap))
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
