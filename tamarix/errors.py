@@ -39,3 +39,19 @@ class UndefinedColumn(EngineError):
 
 class SerializationFailure(EngineError):
     sqlstate = "40001"
+
+
+class TooLong(EngineError):
+    sqlstate = "22001"
+
+
+class InvalidText(EngineError):
+    sqlstate = "22P02"
+
+
+class UndefinedCatalog(EngineError):
+    sqlstate = "3D000"
+
+
+class DuplicateCatalog(EngineError):
+    sqlstate = "42P04"

@@ -31,6 +31,8 @@ REQUIRED = {
     "create table": Privilege.CREATE_TABLE,
     "create index": Privilege.CREATE_TABLE,
     "alter table": Privilege.ALTER_TABLE,
+    "create external": Privilege.CREATE_TABLE,
+    "create database": Privilege.CREATE_DATABASE,
     "drop table": Privilege.DROP_TABLE,
     "drop index": Privilege.DROP_TABLE,
     "explain": Privilege.READ_TABLE_SCHEMA,
@@ -38,6 +40,8 @@ REQUIRED = {
     "update": Privilege.UPDATE_ROWS,
     "delete": Privilege.DELETE_ROWS,
     "select": Privilege.SELECT_ROWS,
+    "execute": Privilege.SELECT_ROWS,
+    "copy": Privilege.SELECT_ROWS,
     "set": Privilege.SET_SESSION_PARAMS,
     "begin": Privilege.NONE,
     "commit": Privilege.NONE,
