@@ -21,20 +21,24 @@ def small(batches, most: int = 8 << 20):
             yield batch.slice(begin, rows)
 
 
-def append(df: DataFrame, read: list[str], made: str, start: Callable, most: int | None = None) -> DataFrame:
+def append(df: DataFrame, read: list[str], made: str, start: Callable, most: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """df with columns made by Python. start() is called once a task and gives a function from
     the lists of values of the columns read to the lists of values of the columns made (a DDL
-    string). Columns of df that are named like a made one are replaced. With most, f gets slices of about so
-    many bytes, which bounds what it holds at a time."""
+    string). Columns of df that are named like a made one are replaced; with keep, only those
+    columns of df are carried on. With most, f gets slices of about so many bytes, which bounds
+    what it holds at a time."""
     import pyarrow as pa
 
     fields = schema(made)
     names = [f.name for f in fields]
     lower = {n.lower() for n in names}
-    kept = [c for c in df.columns if c.lower() not in lower]
-    inputs = [f"__in{i}" for i in range(len(read))]
-    shown = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(a) for c, a in zip(read, inputs)))
-    out = T.StructType([f for f in shown.schema.fields if f.name not in inputs] + fields)
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in lower]
+    # A column that is read and carried on is sent to Python once.
+    extra = [c for c in read if c not in kept]
+    inputs = [f"__in{i}" for i in range(len(extra))]
+    shown = df.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(a) for c, a in zip(extra, inputs)))
+    places = [kept.index(c) if c in kept else len(kept) + extra.index(c) for c in read]
+    out = T.StructType([*shown.schema.fields[: len(kept)], *fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_types = [f.type for f in to_arrow_schema(T.StructType(fields))]
@@ -43,7 +47,7 @@ def append(df: DataFrame, read: list[str], made: str, start: Callable, most: int
         f = start()
         for batch in small(batches, most) if most else batches:
             if batch.num_rows:
-                values = f(*(batch.column(len(kept) + i).to_pylist() for i in range(len(read))))
+                values = f(*(batch.column(i).to_pylist() for i in places))
                 made_now = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, arrow_types)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *made_now], names=[*kept, *names])
 

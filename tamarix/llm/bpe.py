@@ -29,6 +29,7 @@ from tamarix.session import durable
 
 from . import arrow
 from . import pretoken as P
+from .folds import let
 from .tokens import frequent_words, sampled
 
 #: Bounds of the broadcast table (words) and of the sample behind it (documents, tasks); bytes of the longest word that is folded.
@@ -78,11 +79,6 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return bases, cells
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once: the end of a fold over nothing."""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, then)
-
-
 def _long(x: int) -> Column:
     return F.lit(x).cast("bigint")
 
@@ -177,8 +173,8 @@ def _table(shared) -> P.WordTable:
     return _tables[key]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT) -> DataFrame:
-    """docs with a column of ids (array of int) of each whole text.
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT, keep: list[str] | None = None) -> DataFrame:
+    """docs, or only its columns named in keep, with a column of ids (array of int) of each whole text.
 
     Null and empty texts get an empty array; repeated rows each keep their row; a column named
     like the new one is replaced; an empty table gives an empty table. A row's rare words are
@@ -252,7 +248,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
             lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*kept, out])
 
-    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=2 << 20)
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=2 << 20, keep=keep)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     folded = with_literal(parts, path).select(*(F.col(f"`{c}`") for c in kept), "__codes", fold(F.col("__rest"), F.col("__ranks")).alias("__rest"))
     return folded.mapInArrow(assemble, T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))]))

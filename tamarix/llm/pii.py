@@ -309,8 +309,8 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def find(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs with base_spans and spans (strings kind:start:end, by kind as listed, then start, comma-joined; code points, end exclusive). Null texts are empty."""
+def find(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, or only its columns named in keep, with base_spans and spans (strings kind:start:end, by kind as listed, then start, comma-joined; code points, end exclusive). Null texts are empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
@@ -319,7 +319,7 @@ def find(docs: DataFrame, model, text: str = "text") -> DataFrame:
         more = added_spans(texts, bases, shared.value)
         return [[_joined(b) for b in bases], [_joined(sorted(b + m)) for b, m in zip(bases, more)]]
 
-    return arrow.append(docs, [text], "base_spans string, spans string", lambda: run)
+    return arrow.append(docs, [text], "base_spans string, spans string", lambda: run, most=4 << 20, keep=keep)
 
 
 def redact(docs: DataFrame, model, text: str = "text") -> DataFrame:
@@ -340,4 +340,4 @@ def redact(docs: DataFrame, model, text: str = "text") -> DataFrame:
         more = added_spans(full, bases, shared.value)
         return [[t and one(t, b + m) for t, b, m in zip(texts, bases, more)]]
 
-    return arrow.append(docs, [text], f"`{text}` string", lambda: run).select(*(f"`{c}`" for c in docs.columns))
+    return arrow.append(docs, [text], f"`{text}` string", lambda: run, most=4 << 20).select(*(f"`{c}`" for c in docs.columns))

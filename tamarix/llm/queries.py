@@ -43,14 +43,14 @@ def op3_simhash(spark, sf_dir):
 def op4_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    counted = tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    counted = tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "n_bytes"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 @query
 def op5_bpe_folds(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return bpe.decode(coded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -58,7 +58,7 @@ def op5_bpe_folds(spark, sf_dir):
 @query
 def op6_skip_chain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.fit(docs)).drop("text")
+    found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
     counts = [F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
@@ -83,7 +83,7 @@ def op9_link_graph(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
