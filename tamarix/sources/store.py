@@ -731,8 +731,8 @@ class Session:
             n = self._add(name, table, fresh, before)
             return n, self.store.read(table, [f for f in table["files"] if f not in set(before)], ctid=True)
         self._check_unique(rows, None, keys)
-        hit = old.join(rows.select(*keys), keys, "left_semi").select("_metadata.file_path").distinct().collect() if table["files"] else []
-        names = {"/".join(r["file_path"].split("/")[-3:]) for r in hit}
+        hit = old.select(*keys, F.col("_metadata.file_path").alias("__file")).join(rows.select(*keys), keys, "left_semi").select("__file").distinct().collect() if table["files"] else []
+        names = {"/".join(r["__file"].split("/")[-3:]) for r in hit}
         files, kept = [f for f in table["files"] if f in names], [f for f in table["files"] if f not in names]
         same = " AND ".join(f"`{name}`.`{k}` = excluded.`{k}`" for k in keys)
         values = {}
