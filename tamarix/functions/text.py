@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The tags whose text is no text of a page.
 IGNORED_TAGS = ("style", "link", "script", "head", "meta")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -80,10 +82,19 @@ def chunks(df: DataFrame, column: str = "text", most: int = 200) -> DataFrame:
     return made.select(*df.columns, "chunk_no", "__c.*")
 
 
-def tokens(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with one row per word or mark: token_no, token; in the JVM, by a regular expression."""
-    found = F.regexp_extract_all(F.col(column), F.lit(r"(\w+|[^\w\s])"), F.lit(1))
-    return df.select(*df.columns, F.posexplode(found).alias("token_no", "token"))
+_WORD = re.compile(r"[0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\x0b\f\r]")
+
+
+def tokens(df: DataFrame, column: str = "text", most: int | None = None) -> DataFrame:
+    """df with one row per word or mark: token_no, token, token_start, token_end (code points); with most, the first so many of a text, as a model's longest input asks for."""
+
+    @F.pandas_udf("array<struct<token:string,token_start:int,token_end:int>>")
+    def split(texts):
+        found = lambda t: ({"token": m[0], "token_start": m.start(), "token_end": m.end()} for m in _WORD.finditer(t))
+        return texts.map(lambda t: list(itertools.islice(found(t), most)) if t is not None else None)
+
+    made = df.select(*df.columns, F.posexplode(split(F.col(column))).alias("token_no", "__t"))
+    return made.select(*df.columns, "token_no", "__t.*")
 
 
 def with_context(text: Column, start: Column, end: Column, around: int = 300) -> Column:

@@ -22,10 +22,22 @@ def build(master: str = "local[*]", **conf: str) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Compute df once, into the shared checkpoint folder, and cut its lineage there.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    The folder is spark.checkpoint.dir of the session. Only on one machine, as in tests, may that
+    be unset: then a temporary folder is used.
     """
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tamarix-checkpoint-"))
+        context.setCheckpointDir(local_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder, which only a session on one machine may use; an error on a cluster, where executors could not see it."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tamarix-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; on one machine where that is unset, a temporary one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark)).rstrip("/")

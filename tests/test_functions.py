@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tamarix.acl import RowAcl
 from tamarix.errors import PrivilegeError
 from tamarix.functions import text, vector
-from tamarix.operators import retrieval
+from tamarix.operators import files
 from tamarix.streaming import dataflow
 
 
@@ -47,8 +47,8 @@ def test_acl_is_closed(spark):
 
 def test_tree_stops_at_missing_parents(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99)], "id long, parent_id long")
-    assert sorted(map(tuple, retrieval.tree(spark, nodes, 3, True).collect())) == [(1, 2), (2, 1), (3, 0)]
-    assert sorted(map(tuple, retrieval.tree(spark, nodes, 4, True).collect())) == [(4, 0)]
+    assert sorted(map(tuple, files.tree(nodes, 3, True).collect())) == [(1, 2), (2, 1), (3, 0)]
+    assert sorted(map(tuple, files.tree(nodes, 4, True).collect())) == [(4, 0)]
 
 
 def test_barrier_stream_fires_once(spark, tmp_path):
