@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tamarix.session import durable
 
 DAMPING, TOLERANCE, DURABLE_EVERY = 0.85, 1e-10, 5
+#: A table of hosts of at most so many bytes, as measured, is broadcast; rows of hosts of a larger one are dealt over so many parts.
+BROADCAST_BYTES, PARTS = 16 << 20, 16
 #: Rounds that the oracle writes out; it holds where links end within so many hosts.
 ROUNDS = 10
 #: (verdict, host, path)
@@ -45,24 +47,40 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def hosts_bytes(hosts: DataFrame, key: str = "host") -> int:
+    """About the bytes of a table of hosts with a few numbers each."""
+    return int(hosts.agg(F.sum(F.octet_length(key) + 64)).first()[0] or 0)
+
+
+def beside(rows: DataFrame, hosts: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+    """rows with what hosts (one row a key) says of their key. A hub's rows, however many, do not meet in one task: a table
+    that was measured as small is broadcast, and of a larger one each host is repeated for every part of the rows."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(hosts), key, how)
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(PARTS)))
+    everywhere = hosts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(everywhere, [key, "__part"], how).drop("__part")
+
+
 def edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(a, b, share): links from host a to another host b, as shares of all such links of a."""
     links = F.regexp_extract_all(F.coalesce(F.col(f"`{html}`"), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]*)"""), F.lit(1))
     found = pages.select(host_of(F.col(f"`{url}`")).alias("a"), F.explode(links).alias("link"))
     to = host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link")))
-    counts = found.select("a", to.alias("b")).where("a <> '' and b <> '' and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    total = counts.groupBy("a").agg(F.sum("n").alias("total"))
-    return counts.join(total, "a").select("a", "b", (F.col("n") / F.col("total")).alias("share"))
+    counts = durable(found.select("a", to.alias("b")).where("a <> '' and b <> '' and a <> b").groupBy("a", "b").agg(F.count("*").alias("n")))
+    total = durable(counts.groupBy("a").agg(F.sum("n").alias("total")))
+    return beside(counts, total, "a", hosts_bytes(total, "a")).select("a", "b", (F.col("n") / F.col("total")).alias("share"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): seeds (host, seed) personalised along links (a, b, share), until the summed change of a round is below the tolerance."""
+    size = hosts_bytes(seeds) + hosts_bytes(links.select(F.col("b").alias("host")).distinct())
     base = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("part"), F.lit(0.0).alias("moved"))
     state = base.select("host", F.col("part").alias("rank"), F.col("part").alias("change"))
     while True:
         for _ in range(DURABLE_EVERY):
             weight = F.lit(damping) * F.col("share")
-            sent = links.join(state, links.a == state.host).select(F.col("b").alias("host"), (weight * F.col("rank")).alias("part"), (weight * F.col("change")).alias("moved"))
+            sent = beside(links, state.withColumnRenamed("host", "a"), "a", size).select(F.col("b").alias("host"), (weight * F.col("rank")).alias("part"), (weight * F.col("change")).alias("moved"))
             state = base.unionByName(sent).groupBy("host").agg(F.sum("part").alias("rank"), F.sum("moved").alias("change"))
         state = durable(state)
         if (state.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
@@ -70,20 +88,22 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
 
 
 def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html", tolerance: float = TOLERANCE) -> DataFrame:
-    """page_id, host, path, rule and verdict of each url. Urls without a host get the verdict allow unless a rule fits. Repeated rows each keep their row."""
+    """page_id, host, path, rule and verdict of each url. Urls without a host get the verdict allow unless a rule fits. Repeated rows each keep their row;
+    other columns are not carried on; a null page is one without links; an empty table gives an empty table."""
     address = F.col(f"`{url}`")
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(address).alias("host"), path_of(address).alias("path"))
     rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     counted = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("r.verdict") == "allow").alias("good"), F.count_if(F.col("r.verdict") == "block").alias("bad"))
     hosts = durable(counted.where("host <> ''"))
     forward = durable(edges(pages, url, html))
-    total = forward.groupBy("b").agg(F.sum("share").alias("total"))
-    backward = forward.join(total, "b").select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("share") / F.col("total")).alias("share"))
+    total = durable(forward.groupBy("b").agg(F.sum("share").alias("total")))
+    backward = beside(forward, total, "b", hosts_bytes(total, "b")).select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("share") / F.col("total")).alias("share"))
     trust = propagate(hosts.select("host", (F.col("good") / F.col("n")).alias("seed")), forward, tolerance=tolerance)
     distrust = propagate(hosts.select("host", (F.col("bad") / F.col("n")).alias("seed")), backward, tolerance=tolerance)
     both = trust.select("host", "rank", F.lit(0.0).alias("against")).unionByName(distrust.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("against")))
     blocked = both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("against").alias("against")).where("round(against, 9) > round(rank, 9)")
-    marked = rows.join(blocked.select("host", F.lit(True).alias("blocked")), "host", "left")
+    blocked = durable(blocked.select("host", F.lit(True).alias("blocked")))
+    marked = beside(rows, blocked, "host", hosts_bytes(blocked), "left")
     by_host = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return marked.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_host).alias("verdict"))
 
