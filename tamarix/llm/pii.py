@@ -10,8 +10,10 @@ the tokens of a number in spaced groups. All edges of a batch of documents pass
 of a hub with a base span among its tokens is known, so a sure label is two steps from all its
 repetitions, however far off and however many they are.
 
-The node weights (a softmax over the shape of a token and its neighbours) and the chain's
-transitions are fitted on a bounded sample of documents, with the base spans as labels.
+All is fitted on a bounded sample of documents, with the base spans as labels: the node weights (a
+softmax over the shape of a token and its neighbours), the chain's transitions, and through the
+whole field, by its own messages, how strongly a skip edge binds: half of the known labels are
+hidden, and the strength that gives them the greatest marginal likelihood is taken.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_TOKENS, SURE = 2000, 50_000, 0.9
 #: Messages of a document have settled when none moves by more; loopy messages need not, and stop after so many rounds.
 TOLERANCE, ROUNDS = 1e-4, 2000
-#: Log potential for equal labels on a skip edge, for a node inside a base span, and against what is ruled out.
-SKIP, CLAMP, FIRM = 4.0, 8.0, 1e6
+#: Log potential for equal labels on a skip edge where nothing is fitted and the choices for the fit, for a node inside a base span, and against what is ruled out.
+SKIP, SKIPS, CLAMP, FIRM = 4.0, (1.0, 2.0, 4.0, 6.0), 8.0, 1e6
 #: Tokens and digits of a number in spaced groups at most.
 GROUPS, DIGITS = 8, 19
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# Within a run of digits no later start can match where the first one does not, so only the first is tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
@@ -148,9 +151,11 @@ class Field:
         self.skip: list[tuple[int, int]] = []
         self.hubs: list[set[int]] = []
 
-    def add(self, number: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        failed: list[tuple[int, int, int]] = []
-        base_spans(text, failed)
+    def add(self, number: int, text: str, base: list[tuple[int, int, int]], failed: list[tuple[int, int, int]] | None = None) -> None:
+        """Take in a document with its base spans and the matches that base_spans dropped; without those, they are looked for."""
+        if failed is None:
+            failed = []
+            base_spans(text, failed)
         failed = sorted((s, e, k) for k, s, e in {*failed} - {*base})
         f = 0
         seen: dict[str, list[tuple[range, int]]] = {}
@@ -207,24 +212,30 @@ class Field:
             both[a] += own[b]
         return np.hstack((own, both))
 
-    def beliefs(self, weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-        """The marginals of each node when the messages along all edges have settled."""
+    def beliefs(self, weights: np.ndarray, transitions: np.ndarray, skip: float = SKIP, hidden: np.ndarray | None = None) -> np.ndarray:
+        """The marginals of each node when the messages along all edges have settled. The labels of hidden nodes are not told, nor are those of hubs that a hidden node is tied to."""
         n, k = len(self.spans), len(KINDS) + 1
         unary = np.vstack((self.inputs() @ weights, np.zeros((len(self.hubs), k))))
         fixed = np.array(self.fixed, np.int64)
+        untold: set[int] = set()
+        if hidden is not None:
+            fixed = np.where(hidden, 0, fixed)
+            lost = set(np.flatnonzero(hidden).tolist())
+            told = {hub for hub, node in self.skip if fixed[node]}
+            untold = {hub for hub, node in self.skip if node in lost} - told
         sure = np.flatnonzero(fixed > 0)
         unary[sure, fixed[sure]] += CLAMP
         barred = np.array(self.barred, np.int64)
         ruled_out = np.flatnonzero(barred > 0)
         unary[ruled_out, barred[ruled_out]] -= FIRM
         for hub, known in enumerate(self.hubs):
-            if known:
+            if known and hub not in untold:
                 unary[n + hub, [label for label in range(k) if label not in known]] -= FIRM
         edges = np.array(self.chain + [(n + hub, node) for hub, node in self.skip], np.int64).reshape(-1, 2)
         if len(edges):
             m = len(edges)
             kind = np.arange(m) >= len(self.chain)
-            tables = np.stack((transitions, SKIP * np.eye(k)))
+            tables = np.stack((transitions, skip * np.eye(k)))
             pair = np.concatenate((tables[kind * 1], tables[kind * 1].transpose(0, 2, 1)))
             source, to = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
             back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
@@ -251,16 +262,15 @@ class Field:
         return p / p.sum(axis=1, keepdims=True) if n else p
 
 
-def added_spans(texts: list[str], bases: list[list], model) -> list[list[tuple[int, int, int]]]:
+def added_spans(texts: list[str], bases: list[list], model, failed: list[list] | None = None) -> list[list[tuple[int, int, int]]]:
     """The spans that the field adds to each text's base spans; they overlap none of those."""
-    weights, transitions = model
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     field = Field()
     for i, (text, base) in enumerate(zip(texts, bases)):
-        field.add(i, text, base)
+        field.add(i, text, base, failed[i] if failed else None)
     if not field.spans:
         return out
-    p = field.beliefs(weights, transitions)
+    p = field.beliefs(*model)
     best = p.argmax(axis=1)
     fixed = np.array(field.fixed)
     linked = {b: a for a, b in field.chain}
@@ -278,8 +288,8 @@ def added_spans(texts: list[str], bases: list[list], model) -> list[list[tuple[i
     return out
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Node weights and chain transitions from the base spans of a bounded sample of documents, chosen by a hash of the id."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Node weights, chain transitions and the strength of skip edges from the base spans of a bounded sample of documents, chosen by a hash of the id."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
     ids = rows.select("i").where("i is not null").dropDuplicates().orderBy(F.xxhash64("i", F.lit(29)), "i").limit(SAMPLE_DOCS)
     sampled = rows.join(F.broadcast(ids), "i").where(F.col("t").rlike("[0-9@]")).groupBy("i").agg(F.min("t").alias("t")).orderBy("i")
@@ -302,7 +312,27 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np
     for a, b in field.chain:
         pairs[y[a], y[b]] += 1
     transitions = np.log(pairs / pairs.sum()) - np.log(pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum() ** 2)
-    return weights, np.clip(transitions, -3, 3)
+    transitions = np.clip(transitions, -3, 3)
+    return weights, transitions, fit_skip(field, weights, transitions)
+
+
+def fit_skip(field: Field, weights: np.ndarray, transitions: np.ndarray) -> float:
+    """The strength of SKIPS under which the field gives the greatest likelihood to every second known label, hidden from it; the middle one where no hidden node has a hub whose other nodes tell something."""
+    known = np.flatnonzero(np.array(field.fixed, np.int64) > 0)
+    hidden = np.zeros(len(field.fixed), bool)
+    hidden[known[::2]] = True
+    if not any(hidden[node] for _, node in field.skip):
+        return SKIP
+    truth = np.array(field.fixed, np.int64)[hidden]
+    likely = [np.log(np.maximum(field.beliefs(weights, transitions, skip, hidden)[hidden, truth], 1e-12)).sum() for skip in SKIPS]
+    return SKIPS[int(np.argmax(np.round(likely, 6)))]
+
+
+def _spans(texts: list[str], model) -> tuple[list[list], list[list]]:
+    """(base spans, added spans) of each text."""
+    failed: list[list] = [[] for _ in texts]
+    bases = [base_spans(t, f) for t, f in zip(texts, failed)]
+    return bases, added_spans(texts, bases, model, failed)
 
 
 def _joined(spans) -> str:
@@ -310,13 +340,12 @@ def _joined(spans) -> str:
 
 
 def find(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs, or only its columns named in keep, with base_spans and spans (strings kind:start:end, by kind as listed, then start, comma-joined; code points, end exclusive). Null texts are empty."""
+    """docs, or only its columns named in keep, with base_spans and spans (strings kind:start:end, by kind as listed, then start, comma-joined; code points, end exclusive). Null texts are empty.
+    Repeated rows each keep their row, columns named like the two are replaced, an empty table gives an empty table, and a text's spans do not hang on the texts beside it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        texts = [t or "" for t in texts]
-        bases = [base_spans(t) for t in texts]
-        more = added_spans(texts, bases, shared.value)
+        bases, more = _spans([t or "" for t in texts], shared.value)
         return [[_joined(b) for b in bases], [_joined(sorted(b + m)) for b, m in zip(bases, more)]]
 
     return arrow.append(docs, [text], "base_spans string, spans string", lambda: run, most=4 << 20, keep=keep)
@@ -336,8 +365,7 @@ def redact(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def run(texts):
         full = [t or "" for t in texts]
-        bases = [base_spans(t) for t in full]
-        more = added_spans(full, bases, shared.value)
+        bases, more = _spans(full, shared.value)
         return [[t and one(t, b + m) for t, b, m in zip(texts, bases, more)]]
 
     return arrow.append(docs, [text], f"`{text}` string", lambda: run, most=4 << 20).select(*(f"`{c}`" for c in docs.columns))
