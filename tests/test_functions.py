@@ -23,10 +23,10 @@ def test_chunks_cover_words_and_break_at_headings():
 
 
 def test_vectors(spark):
-    df = spark.createDataFrame([("id1", [0.1, 0.2, 0.3, 0.4]), ("id2", [1.4, 1.3, 1.2, 1.1]), ("id3", None)], "id string, v array<float>")
-    score = vector.dot(F.col("v"), vector.vector([1, 1, 1, 1]))
-    assert [r.id for r in df.where(score < 1.1).collect()] == ["id1"]
-    assert [r.id for r in vector.top_k(df, score, 1, "id").collect()] == ["id2"]
+    df = spark.createDataFrame([("low", [0.5, -0.25, 0.0]), ("high", [2.0, 3.0, 0.5]), ("none", None)], "id string, v array<float>")
+    score = vector.dot(F.col("v"), vector.vector([2, 1, 4]))
+    assert [r.id for r in df.where(score < 1.1).collect()] == ["low"]
+    assert [r.id for r in vector.top_k(df, score, 1, "id").collect()] == ["high"]
     with pytest.raises(Exception):
         df.select(vector.dot(F.col("v"), vector.vector([1.0]))).collect()
 

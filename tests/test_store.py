@@ -67,7 +67,7 @@ def test_vectors_and_indexes(store):
     s.execute("INSERT INTO v VALUES ('a', '[0.5, 1, 2, 4]')")
     s.execute("INSERT INTO v VALUES ('a', $1)", [[1.0, 0.0, 0.0, 0.0]])
     assert rows(s.execute("SELECT e[3] AS x FROM v")) == [(0.0,), (4.0,)]
-    s.execute("CREATE INDEX i ON v USING hnsw (e) WITH (metric = 'l2', M = 2, ef_construction = 10, ef = 4, dim = 3)")
+    s.execute("CREATE INDEX i ON v USING hnsw (e) WITH (metric = 'cos', M = 24, ef_construction = 90, ef = 35, dim = 4)")
     with pytest.raises(errors.UniqueViolation):
         s.execute("CREATE UNIQUE INDEX k ON v(id)")
     with pytest.raises(errors.SyntaxError_):
