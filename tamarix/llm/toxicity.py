@@ -50,6 +50,8 @@ SYMBOL = {w: kind for kind, words in SEEDS.items() for w in words.split() if kin
 CHANNELS = ("plain", "targeted", "negated", "reported", "threat", "aimed_threat")
 #: The arcs' weights that are tried; plain is 1. Each choice keeps the order that the grammar asks for.
 ARCS = {"targeted": (1.25, 1.5, 2.0), "negated": (0.1, 0.2, 0.3), "reported": (0.1, 0.2, 0.3), "threat": (0.5, 1.0, 1.5)}
+#: The greatest constant of the logistic function: a text that matches nothing gives no reason to reject it, however few rows were labelled.
+CONSTANT = -2.0
 AIMED = 1.5  # an aimed threat, as a multiple of a threat
 #: Of a document: what its clauses match in each channel, the same of its strongest clause, and how many clauses match and are there.
 FEATURES = (*CHANNELS, *(f"top_{c}" for c in CHANNELS), "matching", "clauses")
@@ -246,20 +248,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (lam * w * w).sum())
 
     w = np.full(x.shape[1], 0.1)
-    w[-1] = -1.0
+    w[-1] = CONSTANT - 1
     now = loss(w)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + lam * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(lam)
         free = (w > 0) | (g < 0)
-        free[-1] = True
+        free[-1] = w[-1] < CONSTANT or g[-1] > 0
         move = np.zeros(len(w))
         move[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
         size = 1.0
         while True:
             new = w - size * move
             new[:-1] = np.maximum(new[:-1], 0)
+            new[-1] = min(new[-1], CONSTANT)
             if loss(new) <= now or size < 1e-6:
                 break
             size /= 2
