@@ -212,17 +212,22 @@ def links(classes: DataFrame, cosine: float, cap: int = GROUP) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", cap: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row. Vectors that are null, zero, empty or hold null or
-    non-finite components, and rows without an id, link with nothing; vectors of unlike lengths do not link."""
+    non-finite components, and rows without an id, link with nothing; vectors of unlike lengths do not link.
+    Repeated rows, and rows with one id and several vectors, each keep their row and count one by one; other columns are not
+    carried on; an empty table gives an empty table."""
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = rows.where(good)
-    classes = durable(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # Classes of equal vectors have numbers of their own, since an id may occur with several vectors.
+    classes = durable(valid.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))).withColumn("rep", F.monotonically_increasing_id())
     met = links(classes.select("rep", "n", "v"), cosine, cap)
     sums = met.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
-    found = components(met.where("kind = 1").select("a", "b"))
-    named = classes.join(sums, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
-    named = named.select("v", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = components(met.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
+    named = classes.join(sums, "rep", "left").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = durable(named.select("v", "least", "component", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("v", "n_links", "component_id")
     linked = valid.join(named, "v").select("vec_id", "n_links", "component_id")
     rest = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -184,3 +184,87 @@ def test_the_composition_equals_its_transducers():
             assert channel == want
             target, negated, speech = toxicity.near_target(target, s), toxicity.negation(negated, s), toxicity.reported(speech, s)
             assert state == (target, negated, speech)
+
+
+def test_base_spans_are_the_four_patterns():
+    import re
+
+    from tamarix.llm import pii
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def luhn(digits):
+        total = 0
+        for i, c in enumerate(reversed(digits)):
+            n = int(c) * (1 + i % 2)
+            total += n - 9 * (n > 9)
+        return total % 10 == 0
+
+    def brute(text):
+        digits = lambda m: re.sub(r"[^0-9]", "", m[0])
+        out = [(0, *m.span()) for m in email.finditer(text)]
+        out += [(1, *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(2, *m.span()) for m in card.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+        return out + [(3, *m.span()) for m in phone.finditer(text) if 8 <= len(digits(m)) <= 15]
+
+    rng = random.Random(12)
+    pieces = ["a", "b@c", ".", "@", "-", "+", "1", "22", "255", "256", "007", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", " ", "\n", "(", ")", "%_", "x@y.z", "10.0.0.1", "+49 171 555", "ä", "٣", "..", "--"]
+    for _ in range(30000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        assert pii.base_spans(text) == brute(text), repr(text)
+
+
+def test_spans_do_not_hang_on_other_texts_and_digits_take_linear_time():
+    import time
+
+    from tamarix.llm import pii
+
+    weights, transitions = np.zeros((2 * pii.N_SHAPES, 5)), np.zeros((5, 5))
+    weights[0, 0] = 0.5
+    texts = ["call +4917155501234 or 4917155501234 or 49171 55501234", "mail a.b@c.org, a.b@c.org", "no digits", "7" * 200 + " 1.2.3.4 1.2.3.4", ""] * 3
+    bases = [pii.base_spans(t) for t in texts]
+    together = pii.added_spans(texts, bases, (weights, transitions))
+    assert together == [pii.added_spans([t], [b], (weights, transitions))[0] for t, b in zip(texts, bases)]
+    began = time.process_time()
+    pii.base_spans("9" * 400_000, [])
+    assert time.process_time() - began < 2
+
+
+def test_the_strength_of_skip_edges_is_fitted():
+    from tamarix.llm import pii
+
+    field = pii.Field()
+    for i in range(20):
+        text = f"call +49171555{i:05d} now\nor +49171555{i:05d} then"
+        field.add(i, text, pii.base_spans(text))
+    weights, transitions = np.zeros((2 * pii.N_SHAPES, 5)), np.zeros((5, 5))
+    assert pii.fit_skip(field, weights, transitions) == max(pii.SKIPS)  # equal numbers always have equal labels here
+    assert pii.fit_skip(pii.Field(), weights, transitions) == pii.SKIP
+
+
+def test_hubs_are_dealt_where_hosts_are_many(spark, monkeypatch):
+    from tamarix.llm import urls
+
+    rows = [(i, f"http://h{i % 7}.net/{i}", f'<a href="http://h{(i * 3) % 7}.net/"><a href="//bad.com/x">' if i % 5 else None) for i in range(60)] + [(99, "http://bad.com/de/", None), (None, "http://h1.net/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    first = sorted(map(str, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, urls.judge(pages).collect())) == first and len(first) == 62
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_handle_edges(spark, edge_docs, number, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 1), (10, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    name, stage = corpus_pipeline.STAGES[number]
+    for docs in (edge_docs, edge_docs.limit(0)):
+        got = stage(spark, docs, str(tmp_path))
+        if number < 3:
+            assert got.columns == docs.columns
+            assert got.count() <= docs.count() and (docs.isEmpty() or got.where("doc_id is null").count() == 1)
+        else:
+            assert got.count() >= docs.count()

@@ -166,7 +166,15 @@ def test_spherical_caps(spark):
         got = {r.vec_id: r for r in capfilter.near_duplicates(df, cap=cap).collect()}
         assert len(got) == len(rows) and all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
         assert [got[i].n_links for i in range(len(vectors))] == (near.sum(1) - 1).tolist()
-        assert all(got[i].component_id <= i for i in range(len(vectors)))
+        group = list(range(len(vectors)))
+        for i, j in zip(*np.nonzero(near)):
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+        assert [got[i].component_id for i in range(len(vectors))] == group and all(got[i].kept == (group[i] == i) for i in range(len(vectors)))
+    again = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 2), (7, [0.0, 2.0], 3), (7, [0.0, 2.0], 3), (None, [1.0, 0.0], 4)], "vec_id long, embedding array<double>, kept int")
+    found = sorted(map(str, (tuple(r) for r in capfilter.near_duplicates(again).collect())))
+    assert found == sorted(map(str, [(5, 0, 5, True), (5, 2, 5, True), (7, 2, 5, False), (7, 2, 5, False), (None, 0, None, True)]))
+    assert capfilter.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_urls(spark):
