@@ -99,7 +99,7 @@ sql("join_lateral", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (
 def join_asof(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    return relational.as_of_join(events.where("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_value").select("event_id", "last_value")
+    return relational.as_of_join(events.where("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_value", width=86_400).select("event_id", "last_value")
 
 
 @query("join_range", "SELECT p.p_partkey, b.low FROM part p JOIN (SELECT DISTINCT floor(p_retailprice / 70) * 70 AS low FROM part) b ON p.p_retailprice >= b.low AND p.p_retailprice < b.low + 100")
