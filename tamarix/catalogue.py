@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarix.functions import text, vector
+from tamarix.functions.time import from_micros_since_2000, micros_since_2000
 from tamarix.operators import files, relational, retrieval
 
 QUERIES: dict = {}
@@ -208,7 +209,17 @@ sql("fn_string", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, len
 sql("fn_regex", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#') AS r, regexp_extract(p_name, '([a-z]+)', 1) AS e FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#', 'g') AS r, regexp_extract(p_name, '([a-z]+)', 1) AS e FROM part")
 sql("fn_date", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, date_trunc('month', o_orderdate) AS mt, o_orderdate + INTERVAL 30 DAYS AS later, extract(DOW FROM o_orderdate) - 1 AS dow FROM orders",
     "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mt, o_orderdate + INTERVAL 30 DAY AS later, CAST(extract(DOW FROM o_orderdate) AS INT) AS dow FROM orders")
-sql("fn_date_format", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS s FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events")
+sql("fn_date_format", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS s, date_format(ts + INTERVAL '0.012345' SECOND, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS f FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, strftime(ts + INTERVAL 12345 MICROSECOND, '%Y-%m-%d %H:%M:%S.%f') AS f FROM events")
+sql("fn_now", "SELECT now() > TIMESTAMP '2020-01-01 00:00:00' AS later, current_date() > DATE '2020-01-01' AS later_day", "SELECT now() > TIMESTAMP '2020-01-01 00:00:00' AS later, current_date > DATE '2020-01-01' AS later_day")
+
+
+@query("fn_micros_2000", "SELECT event_id, epoch_us(ts) - 946684800000000 AS us, ts AS back FROM events")
+def fn_micros_2000(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").select("event_id", micros_since_2000(F.col("ts")).alias("us"))
+    return counted.withColumn("back", from_micros_since_2000(F.col("us")))
+
+
+sql("fn_starts_with", "SELECT page_id FROM pages WHERE startswith(url, 'https://')", "SELECT page_id FROM pages WHERE starts_with(url, 'https://')")
 sql("fn_math", "SELECT p_partkey, abs(-p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS sq, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 100.0), 6) AS e, round(power(p_size, 2), 2) AS p, p_size % 7 AS m, sign(p_size - 25.0) AS sg, round(sin(p_size) + cos(p_size), 6) AS t, round(log10(p_retailprice), 6) AS lg FROM part",
     "SELECT p_partkey, abs(-p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS sq, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 100.0), 6) AS e, round(power(p_size, 2), 2) AS p, p_size % 7 AS m, CAST(sign(p_size - 25.0) AS DOUBLE) AS sg, round(sin(p_size) + cos(p_size), 6) AS t, round(log10(p_retailprice), 6) AS lg FROM part")
 sql("fn_array", "SELECT n_nationkey, size(array(n_nationkey, n_regionkey)) AS n, element_at(split(n_name, 'A'), 1) AS first_part, array_contains(array(1, 2, 3), n_regionkey) AS has, array_join(array_sort(array(n_name, 'M')), ',') AS srt FROM nation", "SELECT n_nationkey, CAST(len([n_nationkey, n_regionkey]) AS INT) AS n, string_split(n_name, 'A')[1] AS first_part, list_contains([1, 2, 3], n_regionkey) AS has, array_to_string(list_sort([n_name, 'M']), ',') AS srt FROM nation")

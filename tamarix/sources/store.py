@@ -230,6 +230,8 @@ class Session:
         self.locks: dict[int, threading.Lock] = {}
         self.functions: dict[str, tuple] = {}
         self.procedures: dict[str, object] = {}
+        #: Tables of this session alone, held by no version: DataFrames by name.
+        self.memory: dict[str, DataFrame] = {}
         #: Tried in turn before the engine's own statements: f(session, statement) gives a DataFrame, or None to pass.
         self.handlers: list = [advisory_lock]
         self._pin()
@@ -387,6 +389,9 @@ class Session:
                     view(name, df)
                 elif self.acl.has_access(self.user, name, "select"):
                     view(name, self.acl.visible(self.user, name, df))
+        for name, df in self.memory.items():
+            if re.search(rf"\b{name}\b", statement, re.I):
+                view(name, df)
         if re.search(rf"\b{SYSTEM}\b", statement, re.I):
             if not self.privileges & Privilege.READ_SYSTEM_SCHEMA:
                 raise errors.PrivilegeError(f"no privilege for {SYSTEM}")

@@ -2,6 +2,7 @@
 
 import threading
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,14 @@ def test_functions_procedures_and_handlers(spark, s):
     assert rows(s.execute("SELECT n FROM countdown(3)")) == [(1,), (2,), (3,)]
     assert rows(s.execute("EXECUTE add(2, 3)")) == [(5,)] and rows(s.execute("EXECUTE shout('a')")) == [("A!",)] and s.execute("EXECUTE labels()").count() == 3
     assert s.execute("PING").count() == 2
+    s.memory["held"] = spark.createDataFrame([(1, 4.0), (1, 6.0), (3, 1.0)], "id int, x double")
+
+    @F.pandas_udf("double")
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    s.register("spread", spread, "double")
+    assert rows(s.execute("SELECT i.label, spread(h.x) AS r FROM held h JOIN item i ON i.id = h.id GROUP BY i.label")) == [("one", 2.0), ("three", 0.0)]
     for bad, error in (("EXECUTE nothing(1)", errors.UndefinedTable), ("VACUUM", errors.SyntaxError_)):
         with pytest.raises(error):
             s.execute(bad)
