@@ -10,7 +10,7 @@ by a literal array and concatenates them.
 
 Words stay with their documents. The frequent words of a bounded sample are folded once and their
 ids broadcast; a document brings along only the other words that it holds, each once, and these
-are folded in its own row. Words longer than LONG bytes, which the fold would take quadratic time
+are folded in its own row, unless an earlier row of the task has brought them within the last RECENT. Words longer than LONG bytes, which the fold would take quadratic time
 for, are encoded by the tiktoken library in the same pass; no text leaves the fold as a whole.
 The table of ids only saves work: every hit is compared with the word itself.
 """
@@ -34,6 +34,8 @@ from .tokens import frequent_words, sampled
 
 #: Bounds of the broadcast table (words) and of the sample behind it (documents, tasks); bytes of the longest word that is folded.
 FREQUENT, SAMPLE, SAMPLE_TASKS, LONG = 1 << 16, 1 << 12, 8, 126
+#: Rare words of a task that later rows of it may refer to.
+RECENT = 1 << 16
 #: Ids that no token has: one for the ends of a word, one for empty cells.
 _END, _NONE = 65535, 65534
 #: Cells of the table of pairs.
@@ -114,16 +116,16 @@ def fold(words: Column, literal: Column) -> Column:
 
         def step(state, _):
             def merge(low):
-                def at(p):  # how many tokens stand before
-                    def pair(new, before):
+                def beside(after):  # what stands after the pair's first token
+                    def pair(n, new, before):  # n tokens stand before the one before the pair
                         left = F.shiftleft(rank(ident(before), new), 23).bitwiseOR(before.bitwiseAND(_long((1 << 23) - 1)))
-                        merged = F.shiftleft(rank(new, ident(state[p + 2])), 23).bitwiseOR(low.bitwiseAND(_long(place))).bitwiseOR(new)
-                        return F.flatten(F.array(F.slice(state, F.lit(1), p - 1), F.array(left, merged), F.slice(state, p + 3, rest)))
+                        merged = F.shiftleft(rank(new, ident(after[1])), 23).bitwiseOR(low.bitwiseAND(_long(place))).bitwiseOR(new)
+                        return F.flatten(F.array(F.slice(state, F.lit(1), n), F.array(left, merged), F.slice(after, F.lit(2), rest)))
 
-                    return let(F.shiftright(low, 23), lambda new: let(state[p - 1], lambda before: pair(new, before)))
+                    return let(F.size(state) - F.size(after) - 2, lambda n: let(F.shiftright(low, 23), lambda new: let(state[n], lambda before: pair(n, new, before))))
 
-                before = let(low.bitwiseAND(_long(place)), lambda own: F.size(F.filter(state, lambda x: x.bitwiseAND(_long(place)) < own)))
-                return F.when(low < _long(no_rank), let(before, at)).otherwise(state)
+                rest_of = let(low.bitwiseAND(_long(place)), lambda own: F.filter(state, lambda x: x.bitwiseAND(_long(place)) > own))
+                return F.when(low < _long(no_rank), let(rest_of, beside)).otherwise(state)
 
             return let(F.array_min(state), merge)
 
@@ -173,7 +175,7 @@ def _table(shared) -> P.WordTable:
     return _tables[key]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT, keep: list[str] | None = None, memory: int = RECENT) -> DataFrame:
     """docs, or only its columns named in keep, with a column of ids (array of int) of each whole text.
 
     Null and empty texts get an empty array; repeated rows each keep their row; a column named
@@ -192,11 +194,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
 
     def split():
         table = _table(shared)
+        seen: dict[str, int] = {}  # the task's recent rare words, by their numbers
+        count = 0
 
         def run(texts):
+            nonlocal count
             codes: list = [[] for _ in texts]
             rest: list = [[] for _ in texts]
-            places: list[dict[str, int]] = [{} for _ in texts]
             for block in P.blocks([x or "" for x in texts]):
                 cp, bounds = P.code_points([x for _, x in block])
                 starts, ends = P.split_bytes_bpe(cp, bounds)
@@ -206,11 +210,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
                     own, base = rows[s:t], int(bounds[k])
                     lost = np.flatnonzero(own < 0)
                     if len(lost):
-                        seen, more, new = places[i], rest[i], []
+                        more, new = rest[i], []
                         for b, e in zip((starts[s + lost] - base).tolist(), (ends[s + lost] - base).tolist()):
                             word = x[b:e]
                             if (at := seen.get(word)) is None:
-                                at = seen[word] = len(more)
+                                if len(seen) >= memory:
+                                    seen.clear()
+                                at = seen[word] = count
+                                count += 1
                                 raw = word.encode()
                                 more.append(list(raw) if len(raw) <= LONG else by_library(word))
                             new.append(-1 - at)
@@ -224,21 +231,22 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
         import pyarrow as pa
 
         table = _table(shared)
+        # The ids of the recent rare words, and the number of the first of them.
+        recent, recent_length, first = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
         for batch in arrow.small(batches, 2 << 20):
             codes, rest = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             per_doc = codes.value_lengths().to_numpy(zero_copy_only=False)
             own = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             words = rest.flatten()
-            length = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-            words_per_doc = rest.value_lengths().to_numpy(zero_copy_only=False)
-            # A code below 0 names a word of the document's own.
-            begin = np.repeat(np.cumsum(words_per_doc) - words_per_doc, per_doc)
+            length = np.concatenate((recent_length, words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+            flat = np.concatenate((recent, words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)))
+            begin = np.cumsum(length) - length
+            # A code below 0 names a rare word by its number in the task.
             mine = own < 0
             n, at = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
             n[~mine], at[~mine] = table.length[own[~mine]], table.offset[own[~mine]]
-            which = begin[mine] - 1 - own[mine]
-            n[mine], at[mine] = length[which], (np.cumsum(length) - length)[which]
+            which = -1 - own[mine] - first
+            n[mine], at[mine] = length[which], begin[which]
             ends = np.cumsum(n)
             where = P.spread(at, n, ends)
             from_doc = np.repeat(mine, n)
@@ -247,6 +255,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
             doc_ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_doc)))]
             lists = pa.ListArray.from_arrays(pa.array(doc_ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*kept, out])
+            if len(length) > memory:
+                gone = len(length) - memory
+                recent, recent_length, first = flat[begin[gone] :], length[gone:], first + gone
+            else:
+                recent, recent_length = flat, length
 
     parts = arrow.append(docs, [text], "__codes array<int>, __rest array<array<int>>", split, most=2 << 20, keep=keep)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
