@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The tags whose text is no text of a page.
 IGNORED_TAGS = ("style", "link", "script", "head", "meta")
@@ -85,16 +86,61 @@ def chunks(df: DataFrame, column: str = "text", most: int = 200) -> DataFrame:
 _WORD = re.compile(r"[0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\x0b\f\r]")
 
 
-def tokens(df: DataFrame, column: str = "text", most: int | None = None) -> DataFrame:
-    """df with one row per word or mark: token_no, token, token_start, token_end (code points); with most, the first so many of a text, as a model's longest input asks for."""
-
-    @F.pandas_udf("array<struct<token:string,token_start:int,token_end:int>>")
-    def split(texts):
-        found = lambda t: ({"token": m[0], "token_start": m.start(), "token_end": m.end()} for m in _WORD.finditer(t))
-        return texts.map(lambda t: list(itertools.islice(found(t), most)) if t is not None else None)
-
-    made = df.select(*df.columns, F.posexplode(split(F.col(column))).alias("token_no", "__t"))
-    return made.select(*df.columns, "token_no", "__t.*")
+#: Tokens that are handed on at a time, and bytes of text that are read at a time.
+TOKENS_AT_A_TIME, BYTES_AT_A_TIME = 1 << 15, 1 << 20
+
+
+def tokens(df: DataFrame, column: str = "text", most: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df, or only its columns named in keep, with one row per word or mark: token_no, token, token_start, token_end (code points); with most, the first so many of a text, as a model's longest input asks for.
+
+    Tokens leave Python in runs of a bounded number, so neither many nor long texts are held as tokens at once."""
+    import pyarrow as pa
+
+    kept = df.columns if keep is None else keep
+    shown = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias("__text"))
+    run_type = pa.list_(pa.struct([("token", pa.string()), ("token_start", pa.int32()), ("token_end", pa.int32())]))
+
+    def split(batches):
+        for batch in batches:
+            step = max(1, batch.num_rows * BYTES_AT_A_TIME // max(batch.nbytes, 1))
+            for begin in range(0, batch.num_rows, step):
+                yield from runs(batch.slice(begin, step))
+
+    def runs(batch):
+        """Batches of the kept columns, the number of a run's first token, and the run."""
+        rows, bases, ends, words, starts, stops = [], [], [0], [], [], []
+
+        def made():
+            parts = [pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(run_type.value_type)))
+            taken = [x.take(pa.array(rows, pa.int64())) for x in batch.columns[:-1]]
+            out = pa.RecordBatch.from_arrays([*taken, pa.array(bases, pa.int32()), lists], names=[*kept, "__base", "__run"])
+            for held in (rows, bases, words, starts, stops):
+                held.clear()
+            ends[:] = [0]
+            return out
+
+        for row in range(batch.num_rows):
+            text = batch.column(len(kept))[row].as_py()
+            found = itertools.islice(_WORD.finditer(text), most) if text is not None else iter(())
+            base = 0
+            while part := list(itertools.islice(found, TOKENS_AT_A_TIME - len(words))):
+                words.extend(m[0] for m in part)
+                starts.extend(m.start() for m in part)
+                stops.extend(m.end() for m in part)
+                rows.append(row)
+                bases.append(base)
+                ends.append(len(words))
+                base += len(part)
+                if len(words) == TOKENS_AT_A_TIME:
+                    yield made()
+        if rows:
+            yield made()
+
+    schema = T.StructType([*shown.schema.fields[:-1], *T._parse_datatype_string("__base int, __run array<struct<token:string,token_start:int,token_end:int>>").fields])
+    kept_now = [F.col(f"`{c}`") for c in kept]
+    out = shown.mapInArrow(split, schema).select(*kept_now, "__base", F.posexplode("__run").alias("__at", "__t"))
+    return out.select(*kept_now, (F.col("__base") + F.col("__at")).alias("token_no"), "__t.*")
 
 
 def with_context(text: Column, start: Column, end: Column, around: int = 300) -> Column:

@@ -1,4 +1,8 @@
 
+import re
+import threading
+
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +26,39 @@ def test_chunks_cover_words_and_break_at_headings():
     assert all(body[s:e] == c for s, e, c in made)
 
 
+def test_tokens_of_long_texts(spark):
+    long = "don't " * 30_000  # more than two runs of tokens
+    rows = [(1, long), (2, None), (3, ""), (4, "  \n"), (5, "é, x_1"), (5, "é, x_1")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = sorted((i, k, m[0], m.start(), m.end()) for i, t in rows for k, m in enumerate(re.finditer(r"[0-9A-Za-z_]+|[^0-9A-Za-z_\s]", t or "")))
+    assert sorted(map(tuple, text.tokens(df, keep=["id"]).collect())) == want
+    first = text.tokens(df, most=2)
+    assert first.columns == ["id", "text", "token_no", "token", "token_start", "token_end"]
+    assert sorted((r.id, r.token_no, r.token) for r in first.collect()) == [w[:3] for w in want if w[1] < 2]
+
+
+def test_tokens_are_not_held_at_once(spark):
+    df = spark.range(150, numPartitions=1).select("id", F.repeat(F.lit("ab, "), 10_000).alias("text"))
+    most, done = [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    most[0] = max(most[0], p.memory_info().rss * (p.name() != "java"))
+                except psutil.Error:
+                    pass
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert text.tokens(df).select("id", "token").where("token = ','").count() == 1_500_000
+    finally:
+        done.set()
+        thread.join()
+    assert most[0] < 500e6
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("low", [0.5, -0.25, 0.0]), ("high", [2.0, 3.0, 0.5]), ("none", None)], "id string, v array<float>")
     score = vector.dot(F.col("v"), vector.vector([2, 1, 4]))
