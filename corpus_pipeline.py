@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarix.llm import jaccard, packing, pii, toxicity
-from tamarix.session import durable, shared_folder
+from tamarix.session import shared_folder
 
 REJECT = 0.3
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies: runs of 5 words, a similarity of 0.8 or more. Rows without an id stay. Of a group's rows with its least id, the one whose text has the least hash stays, once."""
-    found = durable(jaccard.near_copies(docs.where("doc_id is not null")))
+    """The document with the least doc_id of each group of near copies: runs of 5 words, a similarity of 0.8 or more, found by SimHash and completed by an exact join. Rows without an id stay. Of a group's rows with its least id, the one whose text has the least hash stays, once."""
+    found = jaccard.near_copies(docs.where("doc_id is not null"))
     kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.*")
     kept = found.join(kept, ["doc_id", "h"]).groupBy("doc_id", F.col("h").alias("__h")).agg(F.count("*").alias("__rows"))
     named = docs.withColumn("__h", jaccard.text_hash())

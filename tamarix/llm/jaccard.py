@@ -1,6 +1,10 @@
-"""Near copies by the Jaccard similarity of word runs, exactly: a prefix-filtered join.
+"""Near copies: SimHash links, each verified by the Jaccard similarity of word runs, and an exact join for those SimHash misses.
+
+First the method of operator 3: fingerprints of the runs' hashes, and links between those that
+differ in 3 bits at most. A link stands only if the sets of runs are similar enough. A fingerprint
+of 64 bits cannot find all: at a similarity of 0.8 some 10 of its bits differ. So what SimHash has
+not joined meets once more, by a prefix-filtered join, which is exact.
 
-A fingerprint of 64 bits cannot find these: at a similarity of 0.8 some 10 of its bits differ.
 Each text is the set of the hashes of its runs of words, in one fixed order of all hashes. Two
 sets of similarity t share t * n hashes at least, n being the size of either, so they share one
 among the first n - ceil(t * n) + 1 of each. Sets meet by a shuffle on those hashes, and every
@@ -8,10 +12,12 @@ pair that meets is verified, at first on those hashes alone: similar sets have s
 common that few others go on to the whole sets. Any order gives the same links; hashes that are
 frequent in a bounded sample stand last, which keeps the meetings small.
 
-Texts with equal sets fold into one. Sets that meet are first linked along a chain and to the
-least of their meeting; only pairs that are then still in different components are compared
-besides, so a large group of near copies costs no square of pairs. None is left out: unlike
-sets that share rare hashes are all compared, and there the pairs do grow as the square.
+Texts with equal sets fold into one, and hashes at which the same sets meet are one meeting. In
+rounds, each set is linked to the sets that stand before it and first in its meetings, at first to
+the one of each that it meets most often, then to the others that are still in another component;
+at last every other pair of a meeting whose components differ is compared. So a large group of
+near copies costs no square of pairs. None is left out: unlike sets that share rare hashes are all
+compared, and there the pairs do grow as the square.
 """
 
 from __future__ import annotations
@@ -20,9 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarix.session import durable
+from tamarix.session import Scratch, durable
 
-from . import arrow
+from . import arrow, simhash
 from .components import components
 from .simhash import shingle_hashes
 
@@ -55,7 +61,7 @@ def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int, least: float) -> DataFrame:
-    """rows with fold (a hash of the set), n (its size) and prefix (its first hashes in the order)."""
+    """rows with fold (a hash of the set), n (its size), fp (the SimHash) and prefix (its first hashes in the order)."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def start():
@@ -64,9 +70,11 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int,
         keys, counts = shared.value
 
         def run(texts):
-            folds, sizes, firsts = [], [], []
+            folds, sizes, prints, firsts = [], [], [], []
             for text in texts:
-                made = shingle_set(text, width)
+                hashes = np.array(shingle_hashes(text, width) if text else [], np.uint64)
+                prints.append(simhash.fingerprint_of(hashes))
+                made = np.unique(hashes.view(np.int64))
                 n = len(made)
                 folds.append(xxh64_intdigest(made.tobytes(), 7) - (1 << 63))
                 sizes.append(n)
@@ -75,45 +83,84 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int,
                     often = np.where(keys[at] == made, counts[at], 0)
                     made = made[np.argsort(often, kind="stable")]
                 firsts.append(made[: n - int(np.ceil(least * n - 1e-9)) + 1].tolist() if n else [])
-            return [folds, sizes, firsts]
+            return [folds, sizes, prints, firsts]
 
         return run
 
-    return arrow.append(rows, ["text"], "fold long, n long, prefix array<long>", start)
+    return arrow.append(rows, ["text"], "fold long, n int, fp long, prefix array<long>", start)
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of folds that are similar enough, of distinct (fold, h, n, prefix) and rows (h, text)."""
+def verified(held: Scratch, pairs: DataFrame, distinct: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids that are similar enough, of distinct (id, h, n, prefix) and rows (h, text); held."""
 
     def beside(pairs, sets, columns):
         for x in "ab":
-            pairs = pairs.join(sets.select(F.col("fold").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+            pairs = pairs.join(sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
         return pairs
 
     # Of the hashes in common, those outside one of the prefixes lie in the rest of one of the two.
     close = beside(pairs, distinct, ["n", "prefix"])
     rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
     most = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest
-    close = durable(close.where(most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b"))
-    needed = distinct.join(close.select(F.explode(F.array("a", "b")).alias("fold")).distinct(), "fold", "left_semi").select("fold", "h")
-    texts = rows.join(needed, "h").dropDuplicates(["fold"]).select("fold", "text")
-    sets = durable(arrow.append(texts, ["text"], "items array<long>", lambda: lambda ts: [[shingle_set(t, width).tolist() for t in ts]]).drop("text"))
+    close = held.hold(close.where(most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b"))
+    needed = distinct.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "h")
+    texts = rows.join(needed, "h").dropDuplicates(["id"]).select("id", "text")
+    sets = held.hold(arrow.append(texts, ["text"], "items array<long>", lambda: lambda ts: [[shingle_set(t, width).tolist() for t in ts]], keep=["id"]))
     both = beside(close, sets, ["items"])
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    return both.where(shared / (F.size("items_a") + F.size("items_b") - shared) >= F.lit(least)).select("a", "b")
+    found = held.hold(both.where(shared / (F.size("items_a") + F.size("items_b") - shared) >= F.lit(least)).select("a", "b"))
+    held.drop(close, sets)
+    return found
+
+
+def simhash_links(held: Scratch, distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids by operator 3's index: those with equal fingerprints in a star, and links between fingerprints."""
+    some = distinct.where("n > 0").select("id", "fp")
+    prints = durable(some.groupBy("fp").agg(F.min("id").alias("rep")))
+    equal = some.join(prints, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = simhash.links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return held.hold(equal.union(links).distinct())
+
+
+def meetings(distinct: DataFrame) -> DataFrame:
+    """(meeting, id, n, at, times): the sets that share hashes of their prefixes. Hashes at which the very same sets meet are
+    one meeting; at is a set's first place in it, and times counts the hashes."""
+    index = distinct.select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
+    same = Window.partitionBy("shingle")
+    shared = index.withColumns({"size": F.count("*").over(same), "meeting": F.bit_xor(F.xxhash64("id")).over(same)}).where("size > 1")
+    return shared.repartition("meeting").groupBy("meeting", "id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("times"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """doc_id, h (a hash of the text) and component of each row: equal for texts that a chain of
     pairs of similarity `least` or more joins. Texts without words are equal to each other."""
+    with Scratch(docs.sparkSession) as held:
+        return durable(_near_copies(held, docs, doc_id, text, width, least))
+
+
+def _near_copies(held: Scratch, docs: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_hash(text).alias("h"))
-    made = prefixes(rows, frequent(rows.select("h", "text"), width), width, least)
-    # One row for each text, so that the copies of a text are not carried on.
-    prints = durable(made.drop("text"))
-    distinct = durable(prints.groupBy("fold").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    index = distinct.select("fold", "n", F.posexplode("prefix").alias("at", "shingle"))
-    met = Window.partitionBy("shingle").orderBy("n", "fold")
-    this = F.struct("fold", "n", "at")
+    texts = rows.select("h", "text")
+    made = held.hold(prefixes(rows, frequent(texts, width), width, least).drop("text"))
+    # One row for each set, so that the copies of a text are not carried on.
+    distinct = made.groupBy("fold").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    distinct = held.hold(distinct.withColumn("id", F.monotonically_increasing_id()))
+    prints = held.hold(made.select("doc_id", "h", "fold"))
+    held.drop(made)
+    names = distinct.select("id", F.col("id").alias("component"))
+
+    def apart(pairs):
+        """pairs (a, b) of different components, with those."""
+        for x in "ab":
+            pairs = pairs.join(names.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x)
+        return pairs.where("ca <> cb")
+
+    def link(pairs):
+        """The components after the similar ones of the pairs (a, b)."""
+        found = verified(held, pairs, distinct, texts, width, least)
+        joined = components(apart(found).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        return held.hold(names.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
     def fits(one, other):
         """Whether sets that meet at these places can be similar, if they meet nowhere before."""
@@ -121,25 +168,34 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         room = F.least(n - F.col(f"{one}at"), m - F.col(f"{other}at"))
         return (n >= F.lit(least) * m - 1e-9) & (m >= F.lit(least) * n - 1e-9) & (room >= F.lit(least / (1 + least)) * (n + m) - 1e-9)
 
-    chained = index.withColumns({"before": F.lag(this).over(met), "head": F.first(this).over(met), "after": F.lead("fold").over(met)}).where("before is not null or after is not null")
-    near = [F.when((F.col(f"{to}.fold") != F.col("fold")) & fits("", f"{to}."), F.col(f"{to}.fold")).alias(to) for to in ("before", "head")]
-    shared = durable(chained.select("shingle", "fold", "n", "at", *near))
-    first = shared.select("fold", F.explode(F.array("before", "head")).alias("to")).where("to is not null")
-    first = durable(first.select(F.least("fold", "to").alias("a"), F.greatest("fold", "to").alias("b")).distinct())
-    texts = rows.select("h", "text")
-    links = durable(verified(first, distinct, texts, width, least))
-    joined = durable(components(links))
+    by_simhash = simhash_links(held, distinct)
+    names = link(by_simhash)
+
+    shared = held.hold(meetings(distinct))
+    met = Window.partitionBy("meeting").orderBy("n", "id")
+    this = F.struct("id", "n", "at")
+    chained = shared.withColumns({"before": F.lag(this).over(met), "head": F.first(this).over(met)})
+    near = [F.when((F.col(f"{to}.id") != F.col("id")) & fits("", f"{to}."), F.struct(F.lit(k).alias("kind"), F.col(f"{to}.id").alias("to"))) for k, to in enumerate(("before", "head"))]
+    near = chained.select("id", "times", F.explode(F.array(*near)).alias("s")).where("s is not null").select("id", "times", "s.*")
+    near = held.hold(near.groupBy("id", "kind", "to").agg(F.sum("times").alias("times")))
+    pair = (F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+    best = near.groupBy("id", "kind").agg(F.max(F.struct("times", "to")).alias("s")).select("id", "s.to").select(*pair).distinct()
+    best = held.hold(apart(best).select("a", "b").join(by_simhash, ["a", "b"], "left_anti"))
+    names = link(best)
+    first = held.hold(near.select(*pair).distinct())
+    done = by_simhash.union(best)
+    others = held.hold(apart(first).select("a", "b").join(done, ["a", "b"], "left_anti"))
+    names = link(others)
 
     # What is still apart: every other pair of a meeting, unless it has been compared or cannot be similar.
-    named = shared.select("shingle", "fold", "n", "at").join(joined.withColumnRenamed("node", "fold"), "fold", "left").withColumn("component", F.coalesce("component", "fold"))
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    apart = durable(named.join(mixed, "shingle", "left_semi"))
-    one, other = apart.alias("p"), apart.alias("q")
-    pairs = one.join(other, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.fold") < F.col("q.fold")) & (F.col("p.component") != F.col("q.component")) & fits("p.", "q."))
-    rest = pairs.select(F.col("p.fold").alias("a"), F.col("q.fold").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    found = components(links.union(verified(rest, distinct, texts, width, least)))
-    named = prints.select("doc_id", "h", "fold").join(found.withColumnRenamed("node", "fold"), "fold", "left")
-    return named.select("doc_id", "h", F.coalesce("component", "fold").alias("component"))
+    named = shared.drop("times").join(names, "id")
+    mixed = named.groupBy("meeting").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("meeting")
+    mixed = held.hold(named.join(mixed, "meeting", "left_semi"))
+    one, other = mixed.alias("p"), mixed.alias("q")
+    pairs = one.join(other, (F.col("p.meeting") == F.col("q.meeting")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & fits("p.", "q."))
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(done.union(others), ["a", "b"], "left_anti")
+    names = link(held.hold(pairs))
+    return prints.join(distinct.select("fold", "id"), "fold").join(names, "id").select("doc_id", "h", "component")
 
 
 def text_hash(text: str = "text"):

@@ -43,6 +43,14 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())]
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of one text, of its uint64 hashes, as a signed long: a bit is 1 if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes)).view(">u8").astype(np.uint64).view(np.int64)[0])
+
+
 def fingerprint_all(texts: list[str | None], width: int) -> np.ndarray:
     """The fingerprint of each text: a bit is 1 if it is set in over half the hashes."""
     votes = np.zeros((len(texts), 64), np.int64)

@@ -313,3 +313,34 @@ def test_pipeline_decides_by_row_where_ids_repeat(spark):
     rows = [(5, one, "a"), (5, other, "b"), (5, other, "b"), (7, one, "c"), (8, other + " end", "d"), (3, third, "e"), (5, third, "f"), (None, one, "g"), (None, one, "g")]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, one, "a"), (5, other, "b"), (3, third, "e"), (None, one, "g"), (None, one, "g")], key=str)
+
+
+def test_near_copies_by_simhash_then_exactly(spark):
+    """SimHash's links are a step of their own, a shared passage is one meeting, and nothing is left on disk."""
+    import glob
+    import os
+
+    from tamarix.llm import jaccard
+    from tamarix.session import CLEAN_UP, Scratch
+
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, passage = prose(900), prose(30)
+    texts = [" ".join([*base[:-1], f"end{i}"]) for i in range(6)] + [" ".join([*prose(40), *passage]) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    with Scratch(spark) as held:
+        rows = docs.withColumn("h", jaccard.text_hash())
+        distinct = held.hold(jaccard.prefixes(rows, jaccard.frequent(rows, 5), 5, 0.8).drop("text").withColumn("id", F.col("doc_id")))
+        prints = {r.id: r.fp for r in distinct.select("id", "fp").collect()}
+        assert [prints[i] for i in range(len(texts))] == simhash.fingerprint_all(texts, 5).tolist()
+        near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3 if (prints[i] ^ prints[j]) >= 0 else ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 3
+        linked = {(r.a, r.b) for r in jaccard.simhash_links(held, distinct).collect()}
+        assert linked and all(near(a, b) for a, b in linked)
+        met = jaccard.meetings(distinct).where("id >= 6").groupBy("meeting").count().where("count = 5").count()
+        assert met <= 1
+        place = held.folder
+        assert os.path.isdir(place)
+    assert not os.path.exists(place) and spark.conf.get(CLEAN_UP) == "false" and (folder is None or not glob.glob(f"{folder}/scratch-*"))
+    got = {r.doc_id: r.component for r in jaccard.near_copies(docs).collect()}
+    assert len({got[i] for i in range(6)}) == 1 and len(set(got.values())) == 6
