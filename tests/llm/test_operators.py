@@ -344,3 +344,13 @@ def test_near_copies_by_simhash_then_exactly(spark):
     assert not os.path.exists(place) and spark.conf.get(CLEAN_UP) == "false" and (folder is None or not glob.glob(f"{folder}/scratch-*"))
     got = {r.doc_id: r.component for r in jaccard.near_copies(docs).collect()}
     assert len({got[i] for i in range(6)}) == 1 and len(set(got.values())) == 6
+
+
+def test_counts_do_not_depend_on_the_sample(spark, edge_docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokens.tokenizer(path)
+    want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) for r in edge_docs.collect())
+    for most in (0, 3, tokens.FREQUENT):
+        assert sorted(r.n_tokens for r in tokens.count_tokens(edge_docs, path, frequent=most).collect()) == want
