@@ -354,3 +354,52 @@ def test_counts_do_not_depend_on_the_sample(spark, edge_docs):
     want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) for r in edge_docs.collect())
     for most in (0, 3, tokens.FREQUENT):
         assert sorted(r.n_tokens for r in tokens.count_tokens(edge_docs, path, frequent=most).collect()) == want
+
+
+def test_near_copies_compare_only_what_can_be_similar(spark, monkeypatch):
+    """Texts of which more than a fifth is their own meet nobody, whatever else they share; hashes are counted over all texts; a group of near copies costs few pairs."""
+    from tamarix.llm import jaccard
+
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        passage = prose(60)
+        texts += [" ".join([*prose(40), *passage]) for _ in range(3)]
+    base = prose(200)
+    for _ in range(150):  # each with 2 of 200 words changed: similarities about 0.8 between two of them
+        words = list(base)
+        for k in rng.sample(range(200), 2):
+            words[k] = prose(1)[0]
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[200], "", None, "few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [set(jaccard.shingle_set(t, 5).tolist()) for t in texts]
+
+    rows = {r.h: r for r in jaccard.counted(docs.withColumn("h", jaccard.text_hash()).select("h", "text"), 5).collect()}
+    times = {}
+    for x in sets:
+        for s in x:
+            times[s] = times.get(s, 0) + 1
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", jaccard.text_hash().alias("h")).collect()}
+    for i, x in enumerate(sets):
+        assert (rows[hashes[i]].n, rows[hashes[i]].shared) == (len(x), sum(times[s] > 1 for s in x))
+
+    compared, verified = [], jaccard.verified
+
+    def counting(held, pairs, *rest):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return verified(held, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counting)
+    got = {r.doc_id: r.component for r in jaccard.near_copies(docs).collect()}
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    first = {}
+    assert all(first.setdefault(got[i], g) == g for i, g in enumerate(group)) and len(first) == len(set(group))
+    # Of the 150 near copies 11,175 pairs could be made, of the others 180.
+    assert len(compared) == len(set(compared)) < 3000
