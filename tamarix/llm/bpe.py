@@ -35,7 +35,7 @@ from .tokens import frequent_words, sampled
 #: Bounds of the broadcast table (words) and of the sample behind it (documents, tasks); bytes of the longest word that is folded.
 FREQUENT, SAMPLE, SAMPLE_TASKS, LONG = 1 << 16, 1 << 12, 8, 126
 #: Rare words of a task that later rows of it may refer to.
-RECENT = 1 << 16
+RECENT = 1 << 18
 #: Ids that no token has: one for the ends of a word, one for empty cells.
 _END, _NONE = 65535, 65534
 #: Cells of the table of pairs.
@@ -194,11 +194,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
 
     def split():
         table = _table(shared)
-        seen: dict[str, int] = {}  # the task's recent rare words, by their numbers
+        # The task's recent rare words with their numbers, in two dicts of half the memory, so that the older half goes at a time.
+        seen: dict[str, int] = {}
+        older: dict[str, int] = {}
         count = 0
 
         def run(texts):
-            nonlocal count
+            nonlocal count, seen, older
             codes: list = [[] for _ in texts]
             rest: list = [[] for _ in texts]
             for block in P.blocks([x or "" for x in texts]):
@@ -213,9 +215,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", fre
                         more, new = rest[i], []
                         for b, e in zip((starts[s + lost] - base).tolist(), (ends[s + lost] - base).tolist()):
                             word = x[b:e]
-                            if (at := seen.get(word)) is None:
-                                if len(seen) >= memory:
-                                    seen.clear()
+                            if (at := seen.get(word, older.get(word))) is None or at < count - memory:
+                                if 2 * len(seen) >= memory:
+                                    seen, older = {}, seen
                                 at = seen[word] = count
                                 count += 1
                                 raw = word.encode()

@@ -268,3 +268,15 @@ def test_stages_handle_edges(spark, edge_docs, number, tmp_path):
             assert got.count() <= docs.count() and (docs.isEmpty() or got.where("doc_id is null").count() == 1)
         else:
             assert got.count() >= docs.count()
+
+
+def test_rare_words_are_remembered_over_the_whole_memory(spark, monkeypatch):
+    seen, with_literal = [], bpe.with_literal
+    monkeypatch.setattr(bpe, "with_literal", lambda df, *rest: seen.append(df) or with_literal(df, *rest))
+    words = [f"zorg{c}blimfa" for c in "abcdefghijklmnopqr"]
+    docs = spark.createDataFrame([(0, "\n".join(words[:15])), (1, "\n".join([*words[15:], words[14]]))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS, frequent=1, memory=16, keep=["doc_id"]).collect()}
+    assert got == {r.doc_id: bpe.library(RANKS).encode_ordinary(r.text) for r in docs.collect()}
+    # The sixteenth word fills the memory between the two times of the fifteenth; that one is still remembered.
+    folded = [bytes(w).decode() for r in seen[-1].collect() for w in r["__rest"]]
+    assert folded.count(words[14]) == 1 and set(words) <= set(folded)
