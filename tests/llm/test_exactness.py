@@ -280,3 +280,52 @@ def test_rare_words_are_remembered_over_the_whole_memory(spark, monkeypatch):
     # The sixteenth word fills the memory between the two times of the fifteenth; that one is still remembered.
     folded = [bytes(w).decode() for r in seen[-1].collect() for w in r["__rest"]]
     assert folded.count(words[14]) == 1 and set(words) <= set(folded)
+
+
+def test_merges_by_rank_make_the_librarys_tokens():
+    library, table, made = bpe.library(RANKS), bpe.ranks(RANKS), bpe.merge_order(RANKS)
+    # Every token of several bytes forms from two of lower rank.
+    assert made.keys() == {r for t, r in table.items() if len(t) > 1} and all(max(x) < r for r, x in made.items())
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aethinorsé日 \0\n-9" if i % 2 else "aethinors") for _ in range(rng.randint(0, 40))).encode() for i in range(3000)] + [b"a" * 126, b""]
+    merges, n = bpe.merges_of(bpe.beginnings_of_tokens(RANKS), words, 500)
+    pieces, begin, signs = {r: t for t, r in table.items()}, 0, bpe.symbols(RANKS)
+    for w, k in zip(words, n.tolist()):
+        mine, begin = merges[begin : begin + k].tolist(), begin + k
+        assert mine == sorted({table[w[i:j]] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if w[i:j] in table})
+        state = w.decode("latin-1")
+        for r in mine:
+            state = state.replace(signs[made[r][0]] + signs[made[r][1]], signs[r])
+        got = bpe.ids_of(bpe.byte_ids(RANKS), state).tolist()
+        assert got == (library._encode_single_piece(w) if w else []) and b"".join(pieces[i] for i in got) == w
+    assert begin == len(merges)
+
+
+def test_a_row_brings_along_only_the_merges_of_its_words(spark, monkeypatch):
+    seen, with_literal = [], bpe.with_literal
+    monkeypatch.setattr(bpe, "with_literal", lambda df, *rest: seen.append(df) or with_literal(df, *rest))
+    docs = spark.createDataFrame([(0, "zorgblimfa thbleesnt " + "x" * 130), (1, None), (2, "zorgblimfa\nquaxil")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS, frequent=1, keep=["doc_id"]).collect()}
+    assert got == {r.doc_id: bpe.library(RANKS).encode_ordinary(r.text or "") for r in docs.collect()}
+    pieces = {r: t for t, r in bpe.ranks(RANKS).items()}
+    rows = [(bytes(w), m) for r in seen[-1].collect() for w, m in zip(r["__rest"], r["__merges"])]
+    # The word that occurs twice is brought along once at most.
+    assert {b" thbleesnt", b"quaxil", b""} <= {w for w, _ in rows} and len({w for w, _ in rows}) == len(rows)
+    assert all(m == sorted(set(m)) and all(pieces[i] in w for i in m) for w, m in rows if w) and any(m for w, m in rows if w)
+    # A word that is too long for the fold has its ids there.
+    assert [m for w, m in rows if not w] == [bpe.library(RANKS).encode_ordinary(" " + "x" * 130)]
+
+
+def test_ranks_that_do_not_rise_are_folded_by_pairs(spark, tmp_path):
+    import base64
+
+    # "abc" ranks below "ab", which it forms from.
+    tokens_ = [*(bytes([b]) for b in range(256)), b"abc", b"ab", b"abcd", b"dd"]
+    path = str(tmp_path / "odd.tiktoken")
+    with open(path, "w") as file:
+        file.writelines(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens_))
+    assert bpe.merge_order(path) is None
+    texts = ["abcabdabcdddd abc", "ab\nabcd é", "", None, "abc" * 60, "dddabcdd", "日本abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.decode(bpe.encode(docs, path), path).collect():
+        assert r.ids == bpe.library(path).encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
